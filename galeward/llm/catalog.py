@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {"op7_simhash": op7_simhash, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
