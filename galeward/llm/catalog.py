@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .quality import op10_quality
 from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {"op7_simhash": op7_simhash, "op9_exact_dedup": op9_exact_dedup}
+    return {"op7_simhash": op7_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
