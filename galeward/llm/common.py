@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Where scratch tables go when the session names no shared folder (single-machine tests only).
 LOCAL_SCRATCH = "/tmp/checkpoints/galeward"
@@ -78,7 +79,7 @@ def running_offsets(df: DataFrame, group: str, order: Sequence[Column], size: st
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(group).asc_nulls_last(), *order]
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    schema = ranged.schema.add("_local", "long")
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_local", T.LongType())])
 
     def local(batches):
         carry, last = 0, ()
