@@ -1,3 +1,60 @@
-STAGES=[]
-ORACLE_SQL=None
-run=None
+"""From raw documents to packed training sequences, in five stages over whole tables.
+
+Each stage is a function of (spark, docs, sf_dir) that works on all its predecessor kept; its result is
+written as Parquet and read again as the next one's docs. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from galeward.llm.common import cut, read
+from galeward.llm.exact_dedup import drop_exact
+from galeward.llm.mixing import repeat_mixed
+from galeward.llm.packing import pack_report
+from galeward.llm.quality import drop_poor
+from galeward.llm.simhash import drop_near
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or leave their language's perplexity band go."""
+    return drop_poor(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest stays, then the one of the smallest doc_id."""
+    return drop_exact(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document of the smallest doc_id stays."""
+    return drop_near(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat, or go, as the balanced mix of sources takes them."""
+    return repeat_mixed(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in windows of ids."""
+    return pack_report(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_windows", pack_windows),
+]
+
+#: Perplexity models, fingerprints' components and token ids are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .mixing import OP5_SQL, op5_mixing
+from .packing import op3_packing
 from .quality import op10_quality
 from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {"op7_simhash": op7_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
+    return {"op3_packing": op3_packing, "op5_mixing": op5_mixing, "op7_simhash": op7_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op5_mixing": OP5_SQL, "op9_exact_dedup": OP9_SQL}
