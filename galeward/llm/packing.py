@@ -19,6 +19,7 @@ other than doc_id, text and source are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -31,15 +32,20 @@ from .common import cut, read, running_offsets, text_of
 WINDOW = 4096
 END = 2
 QUEUES = 1024
-#: Words whose ids a worker remembers; beyond, it forgets them all and starts again.
-REMEMBERED = 300_000
+#: Chunks of text whose ids a worker remembers, twice: when as many are new, those not asked for since go.
+REMEMBERED = 400_000
+#: Bytes of text whose chunks are told apart at a time.
+PIECE = 1 << 23
+_MARKS = b".,;:!?"
 
 
 class WordIds(dict):
     """Little-endian unsigned 32-bit ids of chunks of text between white space.
 
     The vocabulary's tokenizer drops white space and never merges across it, so a text's ids are its
-    chunks' ids, end to end; most chunks have been seen before."""
+    chunks' ids, end to end; most chunks have been seen before. A run of marks behind an ASCII letter or
+    digit is a piece of its own to the tokenizer, so such a chunk is its word and its marks. It lower-cases,
+    so A-Z may be lower-cased first, but for texts that may hold a special token's name."""
 
     def __init__(self, path: str):
         import os
@@ -48,18 +54,57 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.before: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        ids = self.model.encode(word.decode(), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
+        out = self.before.get(word)
+        if out is None:
+            bare = word.rstrip(_MARKS)
+            if bare != word and bare[-1:].isalnum():
+                out = self[bare] + self[word[len(bare) :]]
+            else:
+                out = array("I", self.model.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             self[word] = out
         return out
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+
+    def of_all(self, texts: pa.StringArray) -> list[bytes]:
+        """Of each text, with the end mark. Chunks are told apart by Arrow, so each is looked up once."""
+        import pyarrow.compute as pc
+
+        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        bounds, chunks = chunks.offsets.to_numpy() - chunks.offsets[0].as_py(), chunks.flatten().dictionary_encode()
+        which = chunks.indices.to_numpy()
+        known = [self[w] for w in chunks.dictionary.cast(pa.binary()).to_pylist()]
+        table = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter((len(x) // 4 for x in known), np.int64, len(known))
+        first = (np.cumsum(size) - size)[which]
+        size = size[which]
+        ends = np.r_[0, np.cumsum(size)]
+        ids = table[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        at = ends[bounds].tolist()
+        end = np.array([END], "<u4").tobytes()
+        out = [ids[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:])]
+        for i in odd.tolist():
+            out[i] = self.of(texts[i].as_py().encode()) + end
+        return out
+
+
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own, kept from task to task."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
 
 
 def vocabulary() -> str:
@@ -73,15 +118,19 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     tokenizer's file on every worker, by default that of the installed package there."""
 
     def run(batches):
-        words = WordIds(path or vocabulary())
-        end = np.array([END], "<u4").tobytes()
+        words = word_ids(path or vocabulary())
         for b in batches:
-            ids = [words.of(t) + end for t in b.column(2).to_pylist()]
-            n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "queue", "n", "ids"])
+            texts = b.column(2).cast(pa.string())
+            size = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)) if len(texts) else np.zeros(0, np.int64)
+            group = np.cumsum(size, dtype=np.int64) // PIECE
+            heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(texts) else []
+            for i, j in zip(heads, [*heads[1:], len(texts)]):
+                ids = words.of_all(texts.slice(i, j - i))
+                n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "queue", "n", "ids"])
 
     source = F.col("source").cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), text_of().cast("binary").alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), text_of().alias("text"))
     if docs.select(source.alias("s")).distinct().count() > QUEUES:
         d = d.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string"))
     made = d.mapInArrow(run, "doc_id long, queue string, n long, ids binary")
@@ -152,8 +201,9 @@ class Rounds:
             yield tuple(held)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids."""
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the
+    queue and the ids if wanted."""
     d = encoded(docs, path)
     totals = {r["queue"]: int(r["n"]) for r in d.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     order = sorted(totals, key=lambda s: (s is None, s or ""))
@@ -161,33 +211,39 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     sums = [totals[s] for s in order]
     placed = running_offsets(d.select("row", "queue", "doc_id", "n"), "queue", [F.col("doc_id").asc_nulls_last()], "n", "first")
     joined = placed.select("row", "start").join(d, "row").select("doc_id", "queue", "start", "n", "ids")
+    schema = _PIECE if with_ids else pa.schema(list(_PIECE)[:7])
 
     def run(batches):
         rounds = Rounds(sums, window)
         for b in batches:
-            out = []
-            for doc, queue, first, n, ids in zip(*(c.to_pylist() for c in b.columns)):
+            cols: list[list] = [[] for _ in schema]
+            docs_, queues, firsts, sizes = (b.column(k).to_pylist() for k in range(4))
+            for doc, queue, first, n, ids in zip(docs_, queues, firsts, sizes, b.column(4)):
+                ids = memoryview(ids.as_buffer())
                 for start, length, seq, offset in rounds.pieces(index[queue], first, n):
                     piece = ids[4 * start : 4 * (start + length)]
-                    out.append((doc, start, length, zlib.crc32(piece), n, seq, offset, queue, piece))
-                    if len(out) >= 20_000:
-                        yield _batch(out)
-                        out = []
-            if out:
-                yield _batch(out)
+                    row = (doc, start, length, zlib.crc32(piece), n, seq, offset)
+                    for c, x in zip(cols, (*row, queue, bytes(piece)) if with_ids else row):
+                        c.append(x)
+                if len(cols[0]) >= 20_000:
+                    yield _batch(cols, schema)
+                    cols = [[] for _ in schema]
+            if cols[0]:
+                yield _batch(cols, schema)
 
-    return joined.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, ids binary")
+    return joined.mapInArrow(run, ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema))
 
 
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("queue", pa.string()), ("ids", pa.binary())])
+_SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
+def _batch(cols: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def pack_report(docs: DataFrame) -> DataFrame:
-    return pack(docs).drop("queue", "ids")
+    return pack(docs, with_ids=False)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from galeward.llm import packing as P
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
-TEXTS = ["", " \n", "Hello, world! It's 2024... don't", "Été  à\tla plage x éa", "日本語 のテキスト 𝔘nicode", "a\x1cb c\x0bd", "<|endoftext|> x<|startoftext|>y", "ΣΑΣ Ω's 'RE", "x" * 300 + " y", "́lone mark ́ again", "ĳ ﬁ İstanbul ​ zero"]
+TEXTS = ["", " \n", "Hello, world! It's 2024... don't", "Été  à\tla plage x éa", "日本語 のテキスト 𝔘nicode", "a\x1cb c\x0bd", "<|endoftext|> x<|startoftext|>y", "ΣΑΣ Ω's 'RE", "x" * 300 + " y", "́lone mark ́ again", "ĳ ﬁ İstanbul ​ zero", "end. End, é. 5!! x"'"s. don"'"t, a.b.c... A.B; q<| W.", "Ångström’s, \u0130."]
 
 
 def test_ids_are_the_tokenizers():
@@ -83,3 +84,23 @@ def test_round_trip(spark):
     assert made == want
     assert P.pack(docs.filter("false")).count() == 0
     assert P.pack_report(docs).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_ids_of_mixed_up_texts():
+    from tokenizers import Tokenizer
+
+    t, w = Tokenizer.from_file(VOCABULARY), P.WordIds(VOCABULARY)
+    rng = random.Random(9)
+    parts = ["a", "B", "é", "É", "1", "٣", ".", ",", "!", "?", ";", ":", "'s", "'", "-", "́", "’", "ß", "中", " ", "\n", "\x0b", "\x1c", " ", "<", "|", ">", "İ", "Σ", "$", "_", "😀"]
+    for _ in range(3000):
+        x = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert np.frombuffer(w.of(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+        assert np.frombuffer(w.of_all(pa.array(["", x, "b", x]).slice(1))[0], "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], repr(x)
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 5)
+    few, all_ = P.WordIds(VOCABULARY), {}
+    for x in [f"w{i % 7}x{i % 3}." for i in range(60)]:
+        assert all_.setdefault(x, few.of(x.encode())) == few.of(x.encode())
+        assert len(few) <= 7
