@@ -36,6 +36,46 @@ def cut(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers wait for their next task with what they once held."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), whose workers give their memory back when a task ends."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def slices(batch, column: str, limit: int = 4 << 20):
+    """Parts of an Arrow batch whose binary `column` holds about `limit` bytes each, so that what is made of
+    a part stays small whatever the batch size is."""
+    import numpy as np
+
+    col = batch.column(batch.schema.get_field_index(column))
+    if not len(col):
+        return
+    size = np.diff(np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset))
+    group = np.cumsum(size, dtype=np.int64) // limit
+    heads = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(col)]
+    for i, j in zip(heads, heads[1:]):
+        yield batch.slice(i, j - i)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, lengthened until it clashes with no column of df (case-blind, as Spark resolves names)."""
     taken = {c.lower() for c in df.columns}

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, read, text_of
+from .common import attach, cut, map_arrow, read, slices, text_of
 
 WIDTH = 400
 GRAM = 100
 #: Bytes of contexts in a suffix array; its triples' names must fit 21 bits.
-SORT = 2_500_000
+SORT = 2_000_000
 #: Bits of the filter that keeps texts that are not needed from a shuffle: 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
 #: Bytes of a text hashed at a time.
@@ -110,43 +110,58 @@ def contexts(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndar
 # --- the difference-cover suffix array -------------------------------------------------------------
 
 
+def _named(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of the keys among the distinct ones, from 0, and how many there are."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    step = np.zeros(len(keys), np.int32)
+    step[1:] = keys[1:] != keys[:-1]
+    np.cumsum(step, out=step)
+    names = np.empty(len(keys), np.int32)
+    names[order] = step
+    return names, int(step[-1]) + 1
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of s, whose letters are 1 to 2^21 - 1 and less."""
+    """Order of the suffixes of s, whose letters are 1 to 2^21 - 1 and less. Places and ranks are of 32
+    bits, and keys are dropped before the recursion, so a level keeps about ten bytes for a letter."""
     n = len(s)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s.astype(np.uint64), np.zeros(4, np.uint64)])
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # a last empty triple parts the halves
-    sampled = np.concatenate([one, two])
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int32)
+    t = np.zeros(n + 4, np.uint32)
+    t[:n] = s
+    wide = lambda i: t[i].astype(np.uint64)
+    # an empty triple behind the first half parts the halves where they would run into each other
+    sampled = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
     size = np.uint64(int(t.max()) + 1)
-    triples = (t[sampled] * size + t[sampled + 1]) * size + t[sampled + 2]
-    names, inverse = np.unique(triples, return_inverse=True)
-    if len(names) < len(sampled):
-        order = suffix_array(inverse + 1)
-        ranks = np.empty(len(sampled), np.int64)
-        ranks[order] = np.arange(len(sampled))
+    names, count = _named((wide(sampled) * size + wide(sampled + 1)) * size + wide(sampled + 2))
+    if count < len(sampled):
+        names += 1
+        order = suffix_array(names)
+        names[order] = np.arange(len(sampled), dtype=np.int32)
     else:
-        ranks, order = inverse, np.argsort(inverse)
-    rank = np.zeros(n + 4, np.uint64)
-    rank[sampled] = (ranks + 1).astype(np.uint64)
+        order = np.argsort(names).astype(np.int32)
+    rank = np.zeros(n + 4, np.uint32)
+    rank[sampled] = names + 1
     rank[n:] = 0
-    sample_order = sampled[order]
-    sample_order = sample_order[sample_order < n]
-    wide = np.uint64(len(sampled) + 2)
-    rest = np.arange(0, n, 3)
-    by_one = t[rest] * wide + rank[rest + 1]
-    o = np.argsort(by_one, kind="stable")
-    rest, by_one = rest[o], by_one[o]
-    first, second = sample_order[sample_order % 3 == 1], sample_order[sample_order % 3 == 2]
-    before = np.searchsorted(t[first] * wide + rank[first + 1], by_one)
-    pair = lambda i: (t[i] * size + t[i + 1]) * wide + rank[i + 2]
-    before += np.searchsorted(pair(second), pair(rest))
-    out = np.empty(n, np.int64)
-    place = before + np.arange(len(rest))
+    behind = lambda i: rank[i].astype(np.uint64)
+    span = np.uint64(len(sampled) + 2)
+    in_order = sampled[order]
+    in_order = in_order[in_order < n]
+    del names, order, sampled
+    rest = np.arange(0, n, 3, dtype=np.int32)
+    key = wide(rest) * span + behind(rest + 1)
+    o = np.argsort(key, kind="stable")
+    rest, key = rest[o], key[o]
+    first, second = in_order[in_order % 3 == 1], in_order[in_order % 3 == 2]
+    place = np.searchsorted(wide(first) * span + behind(first + 1), key)
+    pair = lambda i: (wide(i) * size + wide(i + 1)) * span + behind(i + 2)
+    place += np.searchsorted(pair(second), pair(rest)) + np.arange(len(rest))
+    out = np.empty(n, np.int32)
     out[place] = rest
     free = np.ones(n, bool)
     free[place] = False
-    out[free] = sample_order
+    out[free] = in_order
     return out
 
 
@@ -155,7 +170,7 @@ def repeated_starts(parts: list[bytes], width: int) -> list[np.ndarray]:
     size = np.array([len(p) for p in parts])
     data = np.frombuffer(b"\x00".join(parts) + bytes(8), np.uint8)[: int(size.sum()) + len(parts)]
     ends = np.cumsum(size + 1) - 1
-    letters = data.astype(np.int64) + 2
+    letters = data.astype(np.uint16) + np.uint16(2)
     letters[ends[:-1]] = 1  # parts are parted by a letter of its own
     letters = letters[: ends[-1]]
     begins = ends - size
@@ -195,7 +210,7 @@ def _scan(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """A scratch table: row, doc_id, key (of the text), n_bytes, sha, and the contexts' arrays."""
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text")):
             found = [contexts(t, width, gram) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             cols = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "key", "n_bytes", "sha")]
             lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(4)]
@@ -203,7 +218,7 @@ def _scan(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
     text = text_of()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"), text.cast("binary").alias("text"))
-    made = d.mapInArrow(run, "doc_id long, key binary, n_bytes long, sha string, anchor array<long>, low array<long>, high array<long>, same array<long>")
+    made = map_arrow(d, run, "doc_id long, key binary, n_bytes long, sha string, anchor array<long>, low array<long>, high array<long>, same array<long>")
     return cut(made.withColumn("row", F.monotonically_increasing_id()), "anchors")
 
 
@@ -223,7 +238,7 @@ def _filter(keys: DataFrame):
         np.bitwise_or.at(out, table["at"].to_numpy(), table["bits"].to_numpy().astype(np.uint8))
         return pa.table({"block": [table["block"][0].as_py()], "bits": pa.array([out.tobytes()], pa.binary())}, schema=pa.schema([("block", pa.int32()), ("bits", pa.binary())]))
 
-    made = keys.select("key").coalesce(64).mapInArrow(run, "block int, at int, bits int")
+    made = map_arrow(keys.select("key").coalesce(64), run, "block int, at int, bits int")
     rows = made.groupBy("block", "at").agg(F.bit_or("bits").alias("bits")).groupBy("block").applyInArrow(block, "block int, bits binary").collect()
     held = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:
@@ -241,10 +256,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     held = _filter(wanted)
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text")):
             keys = b.column(0).to_pylist()
-            if not keys:
-                continue
             ok = np.ones(len(keys), bool)
             for k in _bits(keys):
                 ok &= (held.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
@@ -252,7 +265,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(ok))
 
     text = text_of()
-    d = docs.select(text_key(text).alias("key"), text.cast("binary").alias("text")).mapInArrow(run, "key binary, text binary")
+    d = map_arrow(docs.select(text_key(text).alias("key"), text.cast("binary").alias("text")), run, "key binary, text binary")
     return wanted.join(d.dropDuplicates(["key"]), "key")
 
 
@@ -290,7 +303,7 @@ def _sorted_spans(parts: DataFrame, width: int, limit: int) -> DataFrame:
                 yield x
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "row long, start long, end long")
+    return map_arrow(parts.repartition(n, "anchor").sortWithinPartitions("anchor"), run, "row long, start long, end long")
 
 
 def _counted_spans(parts: DataFrame, width: int) -> DataFrame:
@@ -305,7 +318,7 @@ def _counted_spans(parts: DataFrame, width: int) -> DataFrame:
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([row] * n, pa.int64()), pa.array(range(low, low + n), pa.int64()), pa.array([alone] * n)], names=["h", "row", "start", "alone"])
 
-    windows = cut(parts.mapInArrow(run, "h binary, row long, start long, alone boolean"), "windows")
+    windows = cut(map_arrow(parts, run, "h binary, row long, start long, alone boolean"), "windows")
     counts = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     total = windows.count()
     hit = attach(windows.filter("alone"), counts, "h", "n", total)
@@ -329,13 +342,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit:
     texts = _texts_of(docs, cut(listed, "open"))
 
     def extract(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text")):
             out = [(c["anchor"], c["row"], c["low"], c["alone"], c["huge"], t[c["low"] : c["high"] + width]) for cs, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in cs]
             if out:
                 kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds_)], names=["anchor", "row", "low", "alone", "huge", "bytes"])
 
-    cutout = cut(texts.select("cs", "text").mapInArrow(extract, "anchor long, row long, low long, alone boolean, huge boolean, bytes binary"), "parts")
+    cutout = cut(map_arrow(texts.select("cs", "text"), extract, "anchor long, row long, low long, alone boolean, huge boolean, bytes binary"), "parts")
     spans = whole.unionByName(_sorted_spans(cutout.filter("NOT huge").drop("huge"), width, limit))
     if not cutout.filter("huge").isEmpty():
         spans = spans.unionByName(_counted_spans(cutout.filter("huge").drop("huge"), width))
@@ -365,11 +378,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit:
             yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "key", "n_bytes", "sha", "n_removed", "spans"])
 
     docs_ = scanned.select("row", "doc_id", "key", "n_bytes", "sha").join(listed, "row", "left")
-    judged = cut(docs_.mapInArrow(merge, "row long, doc_id long, key binary, n_bytes long, sha string, n_removed long, spans array<struct<start:long,end:long>>"), "judged")
+    judged = cut(map_arrow(docs_, merge, "row long, doc_id long, key binary, n_bytes long, sha string, n_removed long, spans array<struct<start:long,end:long>>"), "judged")
     some = (F.col("n_removed") > 0) & (F.col("n_removed") < F.col("n_bytes"))
 
     def digest(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text")):
             out = []
             for found, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 h, k = hashlib.sha256(), 0
@@ -382,7 +395,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit:
 
     # a text that loses a part is no other document's text, so its key has one row
     partly = judged.filter(some).select("key", "row", "spans")
-    kept = _texts_of(docs, partly).select("row", "spans", "text").mapInArrow(digest, "row long, kept string")
+    kept = map_arrow(_texts_of(docs, partly).select("row", "spans", "text"), digest, "row long, kept string")
     done = judged.join(kept, "row", "left")
     sha = F.when(F.col("n_removed") == 0, F.col("sha")).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit(b""), 256)).otherwise(F.col("kept"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), sha.alias("kept_sha256"), "spans")
