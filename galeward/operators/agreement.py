@@ -38,13 +38,15 @@ def align(table: DataFrame, per_sensor: bool = True, require_uniform: bool = Tru
         missing = sorted((r["sensor"], r["method"]) for r in incomplete_rosters(table).collect())
         if missing:
             raise ValueError("a pooled alignment would drop every row of a sensor without scores of: " + ", ".join(f"{m} on {s}" for s, m in missing) + "; align per sensor, or pass require_uniform=False")
-    rows = table.groupBy(*KEY, "method").agg(F.first(F.struct(F.abs("score").alias("strength"), "flagged")).alias("r"))
-    rows = rows.select(*KEY, "method", "r.*").filter("strength IS NOT NULL")
+    # a key that a method scored twice counts with the stronger score; sums and maxima stay in hash aggregation
+    scored = table.filter("score IS NOT NULL")
+    rows = scored.groupBy(*KEY, "method").agg(F.max(F.abs("score")).alias("strength"), F.bool_or("flagged").alias("flagged"))
+    roster = scored.groupBy("sensor", "method").agg(F.count("*").alias("n"))
     if per_sensor:
-        need = rows.groupBy("sensor").agg(F.count_distinct("method").alias("_need"))
+        need = roster.groupBy("sensor").agg(F.count("*").alias("_need"))
         rows = rows.join(F.broadcast(need), "sensor")  # a row for each sensor
     else:
-        rows = rows.crossJoin(F.broadcast(rows.agg(F.count_distinct("method").alias("_need"))))
+        rows = rows.crossJoin(F.broadcast(roster.agg(F.count_distinct("method").alias("_need"))))
     have = F.count("*").over(Window.partitionBy(*KEY))
     return rows.withColumn("_have", have).filter("_have = _need").select(*KEY, "method", "strength", "flagged")
 
