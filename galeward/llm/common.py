@@ -185,11 +185,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def keep_listed(docs: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFrame:
     """The rows of docs whose `on` columns (nulls alike) are listed; of rows alike in them, one stays."""
-    named = listed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)])
-    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)]
-    twice = docs.groupBy(*on).agg(F.count("*").alias("_n")).filter("_n > 1").select(*on)
-    kept = docs.join(named, cond, "left_semi")
+    names = {c: fresh(docs, f"_gw_k{i}") for i, c in enumerate(on)}
+    n = fresh(docs, "_gw_n")
+    cond = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
+    keys = lambda df: df.select(*[F.col(c).alias(k) for c, k in names.items()])
+    twice = docs.groupBy(*on).agg(F.count("*").alias(n)).filter(F.col(n) > 1)
+    kept = docs.join(keys(listed), cond, "left_semi")
     if twice.isEmpty():
         return kept
-    again = twice.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)])
-    return kept.join(again, cond, "left_anti").unionByName(kept.join(again, cond, "left_semi").dropDuplicates(list(on)))
+    return kept.join(keys(twice), cond, "left_anti").unionByName(kept.join(keys(twice), cond, "left_semi").dropDuplicates(list(on)))

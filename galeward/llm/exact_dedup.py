@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, attach, cut, keep_listed, read, text_of
+from .common import BLANKS, attach, cut, fresh, keep_listed, read, text_of
 
 #: Digests in a shard of the index, on average.
 SHARD = 32_768
@@ -171,9 +171,10 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     kept = exact_groups(docs).filter("row = keep_row").select("doc_id", "digest", "points")
     bare = F.regexp_replace(text_of(), f"[{BLANKS}]+", "")
-    marked = docs.withColumns({"_gw_digest": F.unhex(F.sha2(bare.cast("binary"), 256)), "_gw_points": F.length(text_of()).cast("long")})
-    named = kept.select("doc_id", F.col("digest").alias("_gw_digest"), F.col("points").alias("_gw_points"))
-    return keep_listed(marked, named, ["doc_id", "_gw_digest", "_gw_points"]).drop("_gw_digest", "_gw_points")
+    digest, points = fresh(docs, "_gw_digest"), fresh(docs, "_gw_points")
+    marked = docs.withColumns({digest: F.unhex(F.sha2(bare.cast("binary"), 256)), points: F.length(text_of()).cast("long")})
+    named = kept.select("doc_id", F.col("digest").alias(digest), F.col("points").alias(points))
+    return keep_listed(marked, named, ["doc_id", digest, points]).drop(digest, points)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,8 +46,9 @@ def test_band_equals_the_full_table(spark, tau):
 def test_no_link_is_lost(spark, tau):
     rng = random.Random(7 + tau)
     lines = [x for x in some_lines(rng, 40) if len(x) >= 20]
-    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
-    got = {frozenset(r) for r in D.line_links(df, tau, 20).collect()}
+    df = D.named(spark.createDataFrame([(x,) for x in lines], "line string"))
+    place = {r.id: lines.index(r.line) for r in df.collect()}
+    got = {frozenset(place[i] for i in r) for r in D.line_links(df, tau, 20).collect()}
     want = {frozenset((i, j)) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau}
     assert got == want and want
 
