@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, attach, components, cut, fresh, read, text_of
+from .common import attach, components, cut, fresh, read, text_of
 
 TAU = 2
 MIN_CHARS = 20
@@ -29,14 +29,13 @@ MIN_CHARS = 20
 BROADCAST_IDS = 1_000_000
 # Letters that are counted, 4 bits each.
 LETTERS = "eatnirsohdlucmg "
+BLANK_CHARS = " \t\x0b\x0c\r"
 
 
-def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
-
-
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), _trimmed)
+def _exploded(docs: DataFrame, *kept: Column) -> DataFrame:
+    """The kept columns, pos and line: a row for each part between newlines, its ends trimmed."""
+    parts = docs.select(*kept, F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line"))
+    return parts.withColumn("line", F.btrim("line", F.lit(BLANK_CHARS)))
 
 
 def _key(line: Column) -> Column:
@@ -44,10 +43,11 @@ def _key(line: Column) -> Column:
 
 
 def _letters(line: Column) -> Column:
-    """Counts of LETTERS modulo 16, packed. An edit changes at most two of them, by one."""
+    """Counts of LETTERS modulo 16, packed. An edit changes at most two of them, by one. The letters are of one
+    byte each, so bytes may be counted."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)), 4 * k))
     return out
 
@@ -60,7 +60,8 @@ def _letters_apart(a: str, b: str) -> str:
 
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     """First place (from 1) and size of segment i of TAU + 1; longer segments come last."""
-    base, extra = F.floor(length / (tau + 1)).cast("int"), (length % (tau + 1)).cast("int")
+    extra = length % (tau + 1)
+    base = F.call_function("div", length - extra, F.lit(tau + 1)).cast("int")
     plain = F.lit(tau + 1) - extra  # segments of the smaller size
     first = base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - plain) + 1
     return first.cast("int"), (base + F.when(F.lit(i) > plain, 1).otherwise(0)).cast("int")
@@ -74,21 +75,17 @@ def index_keys(line: Column, length: Column, tau: int) -> Column:
     return F.array(*keys)
 
 
-def _hashed_at(line: Column, length: Column, i: int, size: Column):
-    return lambda p: F.xxhash64(length, F.lit(i), F.substring(line, p, size))
-
-
-def probe_keys(line: Column, length: Column, tau: int, least: int) -> Column:
+def probe_keys(line: Column, length: Column, tau: int) -> Column:
+    """Keys of the substrings at the places where a surviving segment of a line `less` shorter may lie. A
+    place beyond the line's ends makes a key that no index holds, or one more candidate."""
     out = []
     for less in range(tau + 1):
         other = (length - less).cast("int")
         for i in range(1, tau + 2):
             first, size = _segment(other, i, tau)
-            low = F.greatest(F.lit(1), first - (i - 1), first + less - (tau + 1 - i))
-            high = F.least(length - size + 1, first + (i - 1), first + less + (tau + 1 - i))
-            at = F.when((other >= least) & (low <= high), F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-            out.append(F.transform(at, _hashed_at(line, other, i, size)))
-    return F.array_distinct(F.concat(*out))
+            for off in range(max(1 - i, less - (tau + 1 - i)), min(i - 1, less + (tau + 1 - i)) + 1):
+                out.append(F.xxhash64(other, F.lit(i), F.substring(line, first + off, size)))
+    return F.array(*out)
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -96,14 +93,15 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
     Word e has bit d set when row j + d - tau of column j is reachable with e edits; a step along b
     moves all diagonals of a word at once."""
-    x, y = F.split(a, ""), F.split(b, "")
+    rim = F.array_repeat(F.lit(None).cast("string"), tau)
+    x, y = F.concat(rim, F.split(a, ""), rim, rim), F.split(b, "")
+    # beside each letter of b the letters of a on its diagonals, cut out once for a pair
+    beside = F.arrays_zip(y.alias("y"), *[F.slice(x, d + 1, F.length(b)).alias(f"x{d}") for d in range(2 * tau + 1)])
+    equal = F.transform(beside, lambda z: sum((F.when(z[f"x{d}"] == z["y"], 1 << d).otherwise(0) for d in range(1, 2 * tau + 1)), F.when(z["x0"] == z["y"], 1).otherwise(0)))
     full = (1 << (2 * tau + 1)) - 1
     start = F.struct(*[F.lit(sum(1 << (tau + k) for k in range(e + 1))).alias(f"r{e}") for e in range(tau + 1)])
 
-    def step(acc, j):
-        match = F.lit(0)
-        for d in range(2 * tau + 1):
-            match = match.bitwiseOR(F.when(F.get(x, j + (d - tau - 1)) == F.get(y, j - 1), 1 << d).otherwise(0))
+    def step(acc, match):
         new = [acc["r0"].bitwiseAND(match)]
         for e in range(1, tau + 1):
             kept = acc[f"r{e}"].bitwiseAND(match)
@@ -111,16 +109,20 @@ def within(a: Column, b: Column, tau: int) -> Column:
             new.append(kept.bitwiseOR(moved).bitwiseAND(F.lit(full)))
         return F.struct(*[r.cast("int").alias(f"r{e}") for e, r in enumerate(new)])
 
-    last = F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step)[f"r{tau}"]
+    last = F.aggregate(equal, start, step)[f"r{tau}"]
     return F.call_function("shiftright", last, (F.length(a) - F.length(b) + tau).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+def named(lines: DataFrame) -> DataFrame:
+    """Distinct lines (line) with id, n (code points) and sig (letters), as a scratch table."""
+    return cut(lines.select("line", F.length("line").alias("n"), _letters(F.col("line")).alias("sig")).withColumn("id", F.monotonically_increasing_id()), "dlines")
+
+
 def line_links(lines: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
     """Verified pairs (u, v) of line ids. lines: id (long), line (distinct, all of at least `least`)."""
-    n = F.length("line")
-    d = lines.filter(n >= least).select("id", "line", n.alias("n"), _letters(F.col("line")).alias("sig"))
+    d = lines.filter(F.col("n") >= least)
     held = d.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    asked = d.select(F.explode(probe_keys(F.col("line"), F.col("n"), tau, least)).alias("key"), F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
+    asked = d.select(F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"), F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     near = F.expr(f"key = key2 AND a <> b AND na <= nb AND (na < nb OR a < b) AND {_letters_apart('sa', 'sb')} <= {2 * tau}")
     pairs = cut(held.join(asked.withColumnRenamed("key", "key2"), near).select("a", "b").distinct(), "pairs")
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
@@ -131,24 +133,24 @@ def line_links(lines: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> Data
 
 
 def _occurrences(docs: DataFrame, row: str | None) -> DataFrame:
-    """(row, doc_id, pos, h): a scratch table of all lines, by digest; pos null for a document of none."""
+    """(row, doc_id, pos, h): a scratch table of all lines, by digest; every document has a row of pos
+    null, not a line, if its first part is blank."""
     doc = F.col("doc_id").cast("long").alias("doc_id")
     mark = F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row")
-    lines = F.filter(F.transform(_lines(text_of()), lambda x, i: F.struct(i.alias("pos"), F.when(x != "", _key(x)).alias("h"))), lambda x: x["h"].isNotNull())
-    made = docs.select(mark, doc, lines.alias("ls"))
-    return cut(made.select("row", "doc_id", F.explode_outer("ls").alias("l")).select("row", "doc_id", "l.pos", "l.h"), "lines")
+    named = _exploded(docs.select(mark, doc, "text"), F.col("row"), F.col("doc_id")).withColumn("h", F.when(F.col("line") != "", _key(F.col("line")))).drop("line")
+    return cut(named.filter("h IS NOT NULL OR pos = 0").withColumn("pos", F.when(F.col("h").isNotNull(), F.col("pos"))), "lines")
 
 
 def judged_lines(docs: DataFrame, row: str | None = None, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
     """(row, doc_id, pos, near, removed): a row for each line; near: it has a linked line of another text."""
     seen = _occurrences(docs, row)
     total = seen.count()
-    texts = docs.select(F.explode(_lines(text_of())).alias("line")).filter(F.length("line") >= least).distinct()
-    lines = cut(texts.withColumn("id", F.monotonically_increasing_id()), "dlines")
+    texts = _exploded(docs).select("line").filter(F.length("line") >= least).distinct()
+    lines = named(texts)
     classes = components(line_links(lines, tau, least))
-    named = lines.select("id", _key(F.col("line")).alias("h"))
+    keyed = lines.select("id", _key(F.col("line")).alias("h"))
     few = classes.count() <= BROADCAST_IDS
-    member = named.join(F.broadcast(classes) if few else classes, named["id"] == classes["node"]).select("h", "component")
+    member = keyed.join(F.broadcast(classes) if few else classes, keyed["id"] == classes["node"]).select("h", "component")
     heads = member.groupBy("component").agg(F.min("h").alias("class"))
     member = member.join(heads, "component").select("h", "class")
     counted = seen.filter("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "pos")).alias("first"))
