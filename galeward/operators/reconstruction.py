@@ -265,3 +265,14 @@ def percentile_sensitivity(fits: DataFrame, shares: Sequence[float] = THRESHOLD_
     cuts = fits.groupBy(*keys).agg(F.percentile(F.when(~F.col("is_train"), F.col("score")), F.array(*map(F.lit, shares))).alias("c"))
     each = cuts.select(*keys, F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("percentile"), F.col("c").alias("cutoff"))).alias("x")).select(*keys, "x.*")
     return fits.join(each, keys).groupBy(*keys, "percentile", "cutoff").agg(F.avg(F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False)).cast("double")).alias("rate_overall"))
+
+
+def evenly_spaced_stations(health: DataFrame, k: int = 4) -> DataFrame:
+    """(station, n_train): k stations spread evenly over the order of their median training size, ends in.
+
+    A row for each station is all that is ordered."""
+    sizes = health.groupBy("station").agg(F.percentile("n_train", F.lit(0.5)).alias("n_train"))
+    n = sizes.count()
+    places = sorted({round(i * (n - 1) / max(k - 1, 1)) for i in range(k)}) if n else []
+    ordered = sizes.agg(F.sort_array(F.collect_list(F.struct("n_train", "station"))).alias("s")).select(F.posexplode("s").alias("place", "s"))
+    return ordered.filter(F.col("place").isin(*places)).select("s.station", "s.n_train")

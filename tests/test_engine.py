@@ -208,3 +208,24 @@ def test_stream_equals_batch(spark, tmp_path):
     whole = spark.read.parquet(str(tmp_path / "in")).groupBy(F.window("ts", "10 minutes").start.alias("ts")).agg(F.avg("value").alias("v"))
     want = {r.ts: r.v for r in whole.collect()}
     assert len(got) >= len(want) - 1 and all(want[k] == v for k, v in got.items())
+
+
+def test_stations_spread_over_their_sizes(spark):
+    rows = [(f"s{i}", "pressure", 10 * i) for i in range(12)]
+    got = R.evenly_spaced_stations(spark.createDataFrame(rows, "station string, sensor string, n_train long")).collect()
+    assert sorted(r.n_train for r in got) == [0, 40, 70, 110]
+
+
+def test_displacement_table(spark):
+    from galeward.operators.crossmethod import displacement
+
+    rows = [("reseed", s, j) for s, j in (("pressure", 0.6), ("precipitation", 0.8), ("luminous_intensity", 0.7))] + [("window", "pressure", 0.2)]
+    got = displacement(spark.createDataFrame(rows, "change string, sensor string, jaccard double")).collect()
+    assert [(r.change, r.pressure, r.overall) for r in got] == [("reseed", 0.6, 0.7), ("window", 0.2, 0.2)] and got[1].precipitation is None
+
+
+def test_suspect_zeros_and_rain_provenance(spark):
+    rows = [("s", START + dt.timedelta(minutes=10 * i), p, r, l) for i, (p, r, l) in enumerate([(1.0, 0.0, 1.0), (None, 0.0, None), (None, 0.3, None), (None, 0.0, 2.0)])]
+    wide = spark.createDataFrame(rows, "station string, ts timestamp_ntz, pressure double, precipitation double, luminous_intensity double")
+    r = grid.rain_provenance(wide).first()
+    assert (r.n_bins, r.suspect_zeros, r.nonzero_while_offline, round(r.suspect_share_of_zeros, 6)) == (4, 1, 1, round(1 / 3, 6))
