@@ -18,25 +18,38 @@ other than doc_id, text and source are not read.
 
 from __future__ import annotations
 
+import string
 import zlib
 from array import array
 from bisect import bisect_right
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, running_offsets, text_of
+from .common import cut, map_arrow, read, running_offsets, text_of
 
 WINDOW = 4096
 END = 2
 QUEUES = 1024
 #: Chunks of text whose ids a worker remembers, twice: when as many are new, those not asked for since go.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text whose chunks are told apart at a time.
-PIECE = 1 << 23
-_MARKS = b".,;:!?"
+PIECE = 1 << 22
+_MARKS = string.punctuation.encode()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: printable ones stand for themselves, the others,
+    in order, for 256 and up."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordIds(dict):
@@ -54,8 +67,16 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.pieces = self.model.model
         self.before: dict[bytes, bytes] = {}
 
+    def encoded(self, word: bytes) -> bytes:
+        """A word of small letters in normal form is one piece, which the vocabulary's model splits by itself."""
+        text = word.decode()
+        if text.isalpha() and text == text.lower() and (text.isascii() or is_normalized("NFC", text)):
+            return array("I", [x.id for x in self.pieces.tokenize(word.decode("latin-1").translate(_LETTERS))]).tobytes()
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.before = dict(self)
@@ -63,10 +84,10 @@ class WordIds(dict):
         out = self.before.get(word)
         if out is None:
             bare = word.rstrip(_MARKS)
-            if bare != word and bare[-1:].isalnum():
+            if bare != word and bare[-1:].isalnum() and b"<|" not in word:
                 out = self[bare] + self[word[len(bare) :]]
             else:
-                out = array("I", self.model.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+                out = self.encoded(word)
         if len(word) <= 64:
             self[word] = out
         return out
@@ -133,7 +154,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), text_of().alias("text"))
     if docs.select(source.alias("s")).distinct().count() > QUEUES:
         d = d.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string"))
-    made = d.mapInArrow(run, "doc_id long, queue string, n long, ids binary")
+    made = map_arrow(d, run, "doc_id long, queue string, n long, ids binary")
     return cut(made.withColumn("row", F.monotonically_increasing_id()), "ids")
 
 
@@ -151,6 +172,7 @@ class Rounds:
             self.tails.append(at)
             at, left = at + size, left - size
         self._at = (-1, [])
+        self.small = np.array(totals, np.int64) if (self.rounds + 2) * max(self.total, 1) < 1 << 62 else None
 
     def served(self, q: int, r: int) -> int:
         """Ids of queue q served by the end of round r - 1."""
@@ -171,6 +193,22 @@ class Rounds:
             self._at = (r, out)
         return self._at[1][q]
 
+    def begins(self, q: int, rounds) -> list[int]:
+        """begin(q, r) for each of some rounds, in one go where 64 bits hold the products."""
+        if self.small is None:
+            return [self.begin(q, r) for r in rounds]
+        r = np.fromiter(rounds, np.int64)[:, None]
+        now = r * self.small // self.rounds
+        return (now.sum(1) + ((r + 1) * self.small[:q] // self.rounds - now[:, :q]).sum(1)).tolist()
+
+    def rounds_of(self, q: int, first: int, n: int):
+        """Blocks of the rounds that serve ids first..first+n of queue q, at most n rounds in all."""
+        a, b = self.round_of(q, first), self.round_of(q, first + n - 1)
+        found = range(a, b + 1) if b - a < n else sorted({self.round_of(q, i) for i in range(first, first + n)})
+        size = max(1, 100_000 // len(self.totals))
+        for k in range(0, len(found), size):
+            yield found[k : k + size]
+
     def window_of(self, place: int) -> tuple[int, int, int]:
         """Sequence id, its first place and the place behind it."""
         if place < self.full * self.window:
@@ -183,9 +221,8 @@ class Rounds:
         """(start, length, sequence, offset) of the ids first..first+n of queue q; start counts from first.
         Parts that are neighbours in a window as well are one piece."""
         i, held = first, None
-        while i < first + n:
-            r = self.round_of(q, i)
-            place = self.begin(q, r) + i - self.served(q, r)
+        for r, place in ((r, p) for block in self.rounds_of(q, first, n) for r, p in zip(block, self.begins(q, block))):
+            place += i - self.served(q, r)
             stop = min(self.served(q, r + 1), first + n)
             while i < stop:
                 seq, low, high = self.window_of(place)
@@ -231,7 +268,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, with_id
             if cols[0]:
                 yield _batch(cols, schema)
 
-    return joined.mapInArrow(run, ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema))
+    return map_arrow(joined, run, ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema))
 
 
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("queue", pa.string()), ("ids", pa.binary())])
