@@ -52,9 +52,11 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), whose workers give their memory back when a task ends."""
+    """df.mapInArrow(run, schema), whose workers give memory back when a task ends, and before it begins what
+    other tasks have left."""
 
     def whole(batches):
+        give_back()
         yield from run(batches)
         give_back()
 
@@ -141,7 +143,7 @@ def running_offsets(df: DataFrame, group: str, order: Sequence[Column], size: st
             last, carry = (names[-1],), int(out[-1] + s[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "_local"])
 
-    laid = cut(ranged.mapInArrow(local, schema), tag)
+    laid = cut(map_arrow(ranged, local, schema), tag)
     totals = laid.groupBy("_part", group).agg(F.sum(size).alias("_sum"))
     w = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, fresh, keep_listed, read, text_of
+from .common import attach, components, cut, fresh, keep_listed, map_arrow, read, text_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -84,7 +84,7 @@ def _bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
         i, j = np.divmod(np.arange(4096), 64)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[i, -1]), pa.array(np.r_[j, -1]), pa.array(np.r_[both.ravel(), n])], names=["i", "j", "n"])
 
-    rows = prints.select("fp").mapInArrow(run, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(prints.select("fp"), run, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     both, n = np.zeros((64, 64)), 0
     for r in rows:
         if r.i < 0:
@@ -232,7 +232,7 @@ def _verified(buckets: DataFrame, radius: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return buckets.repartition(parts, "part", "value").sortWithinPartitions("part", "value").mapInArrow(run, "u long, v long")
+    return map_arrow(buckets.repartition(parts, "part", "value").sortWithinPartitions("part", "value"), run, "u long, v long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
