@@ -86,3 +86,50 @@ def test_empty_sides(spark):
     none = docs.filter("false")
     assert L.cross_entropy_difference(none, docs.select("doc_id"), 8, 64).count() == 0
     assert L.cross_entropy_difference(docs, none.select("doc_id"), 8, 64).count() == 1
+
+
+@pytest.mark.parametrize("least_hot, shard, held", [(1000, 2_000_000, 1_300_000), (3, 2, 0), (1, 2, 0), (8, 20, 5)])
+def test_whole_model_equals_brute_force(spark, monkeypatch, least_hot, shard, held):
+    """Every word and pair has its own count: 300 rare words and pairs, hot ones, and texts in pieces."""
+    for name, value in (("LEAST_HOT", least_hot), ("SHARD", shard), ("SHARDS", 3), ("HELD", held)):
+        monkeypatch.setattr(L, name, value)
+    texts = [*TEXTS, *(f"the cat w{i} w{i * 7 % 300} sat" for i in range(300)), "the cat " * 400]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "the cat"), (0, texts[0])], "doc_id long, text string").repartition(3)
+    chosen = {0, 6, *range(20, 60)}
+    got = L.score_whole(docs, spark.createDataFrame([(i,) for i in chosen] + [(None,)], "doc_id long"), 100 if held < 10 else L.UNIT, held).collect()
+    rows = [*((i, plain_words(t)) for i, t in enumerate(texts)), (None, ["the", "cat"]), (0, plain_words(texts[0]))]
+    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for i, w in rows:
+        for k in range(1 + (i in chosen)):
+            words[k].update(["^", *w])
+            pairs[k].update(zip(["^", *w], w))
+    n = [sum(v for w, v in c.items() if w != "^") for c in words]
+
+    def loss(k, a, b):
+        s = n[1] / n[k]
+        p = (words[k][b] * s + 1) / (n[1] + len(words[0]) - 1)
+        return -math.log((pairs[k][a, b] * s + L.PRIOR * p) / (words[k][a] * s + L.PRIOR))
+
+    want = []
+    for i, w in rows:
+        mean = [sum(loss(k, a, b) for a, b in zip(["^", *w], w)) / max(len(w), 1) for k in (0, 1)]
+        want.append((i, len(w), mean[1], mean[0], mean[1] - mean[0]))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert len(got) == len(want)
+    for g, x in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert g[:2] == x[:2] and g[2:] == pytest.approx(x[2:], abs=2e-6)
+
+
+def test_whole_model_takes_a_long_text_in_pieces(spark, monkeypatch):
+    """A text of more than PIECE bytes scores as its words do; the query takes no cap on words."""
+    rare = " ".join(f"r{i}" for i in range(70_000))
+    docs = spark.createDataFrame([(1, "a b " * 600_000), (2, rare)], "doc_id long, text string")
+    one, two = sorted(map(tuple, L.cross_entropy_difference(docs, docs.filter("doc_id = 1").select("doc_id")).collect()))
+    assert one[1] == 1_200_000 and two[1] == 70_000
+    m, v = 1_200_000, 70_002
+    near = L.PRIOR * (600_000 + 1) / (m + v)
+    want = -(math.log((1 + near) / (1 + L.PRIOR)) + 600_000 * math.log((600_000 + near) / (600_000 + L.PRIOR)) + 599_999 * math.log((599_999 + near) / (600_000 + L.PRIOR))) / m
+    assert one[2] == pytest.approx(want, abs=2e-6)
+    unseen = L.PRIOR / (m + v)
+    want = -(math.log(unseen / (1 + L.PRIOR)) + 69_999 * math.log(unseen / L.PRIOR)) / 70_000
+    assert two[2] == pytest.approx(want, abs=2e-6)
