@@ -262,23 +262,24 @@ def isolation_forest(spark, sf):
     return D.detections(density.iforest(_features(spark, sf)), "isolation_forest")
 
 
-def _fits(spark, sf, arch, epochs):
-    return R.fit_scores(S.filled(spark, sf), R.plan(spark, [arch]), epochs=epochs)
+def _fits(spark, sf, arch):
+    """A fit ends when it stops to improve, after MAX_EPOCHS at the latest."""
+    return R.fit_scores(S.filled(spark, sf), R.plan(spark, [arch]))
 
 
 @query()
 def autoencoder(spark, sf):
-    return R.reconstruction_detections(_fits(spark, sf, "dense", 100))
+    return R.reconstruction_detections(_fits(spark, sf, "dense"))
 
 
 @query()
 def lstm_ae(spark, sf):
-    return R.reconstruction_detections(_fits(spark, sf, "lstm", 10))
+    return R.reconstruction_detections(_fits(spark, sf, "lstm"))
 
 
 @query()
 def gru_ae(spark, sf):
-    return R.reconstruction_detections(_fits(spark, sf, "gru", 10))
+    return R.reconstruction_detections(_fits(spark, sf, "gru"))
 
 
 @query()
@@ -302,12 +303,12 @@ def window_control(spark, sf):
 
 @query()
 def percentile_sensitivity(spark, sf):
-    return R.percentile_sensitivity(_fits(spark, sf, "dense", 40))
+    return R.percentile_sensitivity(_fits(spark, sf, "dense"))
 
 
 @query()
 def fit_health(spark, sf):
-    return R.fit_health(_fits(spark, sf, "dense", 40), 40)
+    return R.fit_health(_fits(spark, sf, "dense"))
 
 
 # --- agreement ------------------------------------------------------------------------------------
