@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,15 +166,37 @@ ccf AS (SELECT station, lag::INT AS lag, CASE WHEN count(*) FILTER (x IS NOT NUL
 
 
 @query(f"WITH {_LAG} SELECT station, lag, round(r, 6) AS correlation FROM ccf")
-def lagged_corr(spark, sf):
+def lagged_corr_near(spark, sf):
+    """One pair over LAGS, which SQL checks."""
     return r6(C.lagged(S.wide(spark, sf), "pressure", "luminous_intensity", LAGS), "correlation")
 
 
 @query(f"""WITH {_LAG} SELECT station, arg_max(lag, abs(r)) AS peak_lag_steps, arg_max(lag, abs(r)) * 10 AS peak_lag_minutes, round(arg_max(r, abs(r)), 6) AS peak_correlation, round(max(r) FILTER (lag = 0), 6) AS lag0_correlation FROM ccf GROUP BY 1""")
-def ccf_peak(spark, sf):
+def ccf_peak_near(spark, sf):
+    """One pair over LAGS, which SQL checks."""
     return r6(C.lag_peaks(C.lagged(S.wide(spark, sf), "pressure", "luminous_intensity", LAGS)), "peak_correlation", "lag0_correlation")
 
 
+def _each_pair(spark, sf, made):
+    """made(correlations by lag) of every pair of sensors over all lags, with the pair's name after the station."""
+    out = None
+    for a, b in combinations(grid.SENSORS, 2):
+        t = made(C.lagged(S.wide(spark, sf), a, b, C.MAX_LAG)).withColumn("pair", F.lit(f"{a}-{b}"))
+        out = t if out is None else out.unionByName(t)
+    return out.select("station", "pair", *[c for c in out.columns if c not in ("station", "pair")])
+
+
+@query()
+def lagged_corr(spark, sf):
+    """All pairs over all lags; the SQL join over them is left to the near form."""
+    return r6(_each_pair(spark, sf, lambda t: t), "correlation")
+
+
+@query()
+def ccf_peak(spark, sf):
+    return r6(_each_pair(spark, sf, C.lag_peaks), "peak_correlation", "lag0_correlation")
+
+
 @query(f"""WITH {S.RAW}, wb AS (SELECT *, CASE WHEN hour(ts) BETWEEN 6 AND 17 THEN 'day' ELSE 'night' END AS bucket FROM wide), {_PAIR.format(k='station, bucket', t='wb')}
 SELECT station, bucket, var1, var2, 'pearson' AS method, round(pearson, 6) AS correlation, 'hour' AS group_by FROM cr UNION ALL SELECT station, bucket, var1, var2, 'spearman', round(spearman, 6), 'hour' FROM cr""")
 def day_night_corr(spark, sf):
