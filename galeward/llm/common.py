@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where scratch tables go when the session names no shared folder (single-machine tests only).
+#: Where scratch tables go when a local session names no shared folder (single-machine tests only).
 LOCAL_SCRATCH = "/tmp/checkpoints/galeward"
 #: The white space of every contract, as the inside of a regular-expression class.
 BLANKS = r"\x20\x09-\x0D"
@@ -22,18 +23,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a local one if driver and executors are one
+    process, and an error elsewhere: executors could not read one another's tables."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, so a lost
-    executor costs the rerun of a read, and values made by the write (row ids, samples) stay fixed."""
+    executor costs the rerun of a read, and values made by the write (row ids, samples) stay fixed.
+    An application's tables are one folder, which goes when the application ends."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/gw-{tag}-{uuid.uuid4().hex}"
+    home = f"{scratch_root(spark)}/gw-{spark.sparkContext.applicationId}"
+    path = f"{home}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, home)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of cut() that nothing will read again."""
+    fs, at = _file_system(df.sparkSession, df._scratch)
+    fs.delete(at, True)
 
 
 def give_back() -> None:
@@ -110,8 +131,9 @@ def running_offsets(df: DataFrame, group: str, order: Sequence[Column], size: st
     """df with `start`: the sum of `size` over the rows of its group that come earlier by `order`.
 
     A distributed prefix sum: rows are range-partitioned by (group, order), each task sums within
-    its range, and the ranges' totals are summed over (ranges + groups rows at most). One group
-    may span any number of ranges, so a hot group is not gathered. Ties are in any one order,
+    its range, and the totals of groups that span ranges are summed over the ranges. One group
+    may span any number of ranges, so a hot group is not gathered; what is broadcast are the groups that
+    span ranges, two for each range at most, however many groups there are. Ties are in any one order,
     fixed by the scratch table. Columns _part, _local are used inside."""
     import numpy as np
     import pyarrow as pa
@@ -145,11 +167,11 @@ def running_offsets(df: DataFrame, group: str, order: Sequence[Column], size: st
 
     laid = cut(map_arrow(ranged, local, schema), tag)
     totals = laid.groupBy("_part", group).agg(F.sum(size).alias("_sum"))
-    w = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
-    # one row for each range and each group that begins in it: ranges + groups rows at most
-    joined = laid.join(F.broadcast(bases), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
-    return joined.withColumn("start", F.col("_local") + F.col("_base")).drop("_part", "_local", "_p", "_g", "_base")
+    within = Window.partitionBy(group)
+    before = within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), F.sum("_sum").over(before).alias("_base"), F.count("*").over(within).alias("_k")).filter("_k > 1").drop("_k")
+    joined = laid.join(F.broadcast(bases), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")), "left")
+    return joined.withColumn("start", F.col("_local") + F.coalesce("_base", F.lit(0))).drop("_part", "_local", "_p", "_g", "_base")
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -174,7 +196,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     count and two sums reach the driver. Ends when a round changes nothing."""
     state, edges = None, cut(edges.filter("u <> v").select("u", "v").distinct(), "cc")
     for _ in range(rounds):
-        edges = cut(_star(_star(edges, False), True), "cc")
+        last, edges = edges, cut(_star(_star(edges, False), True), "cc")
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

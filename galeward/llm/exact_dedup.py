@@ -5,7 +5,8 @@ documents are hashed without collisions: each shard of digests gets a cascade of
 whose ranks number its digests from 0, and the slot of that number holds the full 32-byte digest
 with the locator of the winner (row, document, code points, copies). A newer digest asks its shard
 for a slot and is a repeat only if all 32 bytes there agree; digests that are no members group among
-themselves. Shards hold about SHARD digests whatever the input, so they bound a task's memory.
+themselves. Shards hold about SHARD digests of the older part and of the newer one, whatever the input and whichever is
+larger, so they bound a task's memory.
 
 Cases: null text is empty; empty texts are equal to each other; null doc_id is a document like any
 other and wins only over none; repeated rows are rows of one group of which one is kept; no rows in,
@@ -122,9 +123,10 @@ def _best(rows: DataFrame) -> DataFrame:
     )
 
 
-def build_index(seen: DataFrame) -> DataFrame:
-    """The index over the distinct digests of seen (doc_id, row, points, copies by digest)."""
-    shards = max(1, -(-seen.count() // SHARD))
+def build_index(seen: DataFrame, asked: int = 0) -> DataFrame:
+    """The index over the distinct digests of seen (doc_id, row, points, copies by digest), in shards for `asked`
+    digests to be looked up."""
+    shards = max(1, -(-max(seen.count(), asked) // SHARD))
     placed = seen.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     return cut(placed.groupBy("shard").applyInArrow(_build_shard, INDEX), "mph").withColumn("shards", F.lit(shards))
 
@@ -139,16 +141,17 @@ def lookup(index: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Every document with its group: row, doc_id, digest, points, keep_id, keep_row, group_size.
 
-    The older half of the id range is the history; what follows it is looked up in its index."""
+    The older half of the ids (up to their median) is the history; what follows it is looked up in its index."""
     d = digests(docs)
-    low, high, total = d.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    until = (low + high) // 2 if low is not None else 0
-    older = F.coalesce(F.col("doc_id") <= until, F.lit(False))
+    until, total = d.agg(F.percentile_approx("doc_id", 0.5), F.count("*")).first()
+    older = F.coalesce(F.col("doc_id") <= (until or 0), F.lit(False))
     seen = cut(_best(d.filter(older)), "seen")
-    index = build_index(seen)
-    shards = index.select("shards").first()
     asked = cut(_best(d.filter(~older)), "asked")
-    found = cut(lookup(index, asked, shards["shards"] if shards else 1).join(asked, "digest"), "found")
+    index = build_index(seen, asked.count())
+    shards = index.select("shards").first()
+    # without history there is no index, and none of the newer ones is a member
+    shards = shards["shards"] if shards else max(1, -(-asked.count() // SHARD))
+    found = cut(lookup(index, asked, shards).join(asked, "digest"), "found")
     late = found.filter("member").select("digest", F.struct("points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row")).alias("b"), F.col("copies").alias("more"))
     mine = F.struct("points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row"))
     won = F.greatest(mine, F.col("b"))

@@ -3,13 +3,18 @@
 Every source is a queue of its documents' ids in doc_id order. Round r serves every queue in turn;
 queue s is owed rounds' share T_s / R of its T_s ids (R rounds, about one window of ids each), gets the
 whole part of what it is owed and carries the rest, its deficit, to the next round, so by the end of
-round r it has got floor(r * T_s / R) ids. That closed form is the deficit counter after any round, so every task
-knows the counters at its place in the queues and the deficits carry across windows and across
-partitions without passing through one task. The rounds, end to end, are one stream that is cut into
+round r it has got floor(r * T_s / R + f_s) ids. f_s, the deficit it begins with, comes from a hash of the
+source's name, so that small sources alike in size are not all served in the same rounds. That closed
+form is the deficit counter after any round, so every task knows the counters at its place in the queues
+and the deficits carry across windows and across partitions without passing through one task. The rounds, end to end, are one stream that is cut into
 windows of WINDOW ids; the ids left at its end fill windows of falling powers of two, so no window
-is padded. All windows but those hold every source in its proportion, to an id for each source.
+is padded. Rounds are about as long as windows, so at the end of any window no source is further ahead or
+behind its proportion than its part of one round.
 
-Queues: sources beyond QUEUES share queues by hash, which bounds the table of T_s that every task holds.
+Every source has a queue of its own at any number of sources. Up to QUEUES of them, each task holds the table of
+all T_s and places its documents alone. Beyond, no task holds it: a document's shares of its rounds need only the
+T_s of its own queue, and their places are a distributed prefix sum over all shares in the order
+of round and queue. Both ways give the same windows.
 
 Cases: null or empty text is the end mark alone; a null source is a queue; documents alike in source and
 doc_id lie in any one order; very long documents span windows; no rows in, no rows out; columns
@@ -26,13 +31,14 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, read, running_offsets, text_of
+from .common import attach, cut, map_arrow, read, running_offsets, text_of
 
 WINDOW = 4096
 END = 2
+#: Queues whose totals every task may hold (8 bytes each); more are placed by a prefix sum over the rounds' shares.
 QUEUES = 1024
 #: Chunks of text whose ids a worker remembers, twice: when as many are new, those not asked for since go.
 REMEMBERED = 200_000
@@ -150,10 +156,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "queue", "n", "ids"])
 
-    source = F.col("source").cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), text_of().alias("text"))
-    if docs.select(source.alias("s")).distinct().count() > QUEUES:
-        d = d.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("queue"), text_of().alias("text"))
     made = map_arrow(d, run, "doc_id long, queue string, n long, ids binary")
     return cut(made.withColumn("row", F.monotonically_increasing_id()), "ids")
 
@@ -161,10 +164,13 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 class Rounds:
     """Places in the stream. totals: ids of each queue, in the order in which a round serves them."""
 
-    def __init__(self, totals: list[int], window: int):
+    def __init__(self, totals: list[int], window: int, total: int | None = None, keys: list[str] | None = None):
+        """total: ids of all queues, where totals are not those of all of them. keys: of the queues, from which the
+        deficits come that they begin with (else 0)."""
         self.totals, self.window = totals, window
-        self.total = sum(totals)
+        self.total = sum(totals) if total is None else total
         self.rounds = max(1, -(-self.total // window))
+        self.carried = [zlib.crc32(k.encode()) * self.rounds >> 32 for k in keys] if keys else [0] * len(totals)
         self.full = self.total // window
         self.tails, left, at = [], self.total % window, self.full * window
         while left:
@@ -176,20 +182,20 @@ class Rounds:
 
     def served(self, q: int, r: int) -> int:
         """Ids of queue q served by the end of round r - 1."""
-        return r * self.totals[q] // self.rounds
+        return (r * self.totals[q] + self.carried[q]) // self.rounds
 
     def round_of(self, q: int, i: int) -> int:
         """The round that serves id i of queue q: the largest r with served(r) <= i."""
-        return ((i + 1) * self.rounds - 1) // self.totals[q]
+        return ((i + 1) * self.rounds - 1 - self.carried[q]) // self.totals[q]
 
     def begin(self, q: int, r: int) -> int:
         """Place in the stream of the first id that round r serves of queue q."""
         if self._at[0] != r:
-            now = [r * t // self.rounds for t in self.totals]
+            now = [self.served(k, r) for k in range(len(self.totals))]
             place, out = sum(now), []
-            for t, x in zip(self.totals, now):
+            for k, x in enumerate(now):
                 out.append(place)
-                place += (r + 1) * t // self.rounds - x
+                place += self.served(k, r + 1) - x
             self._at = (r, out)
         return self._at[1][q]
 
@@ -198,8 +204,9 @@ class Rounds:
         if self.small is None:
             return [self.begin(q, r) for r in rounds]
         r = np.fromiter(rounds, np.int64)[:, None]
-        now = r * self.small // self.rounds
-        return (now.sum(1) + ((r + 1) * self.small[:q] // self.rounds - now[:, :q]).sum(1)).tolist()
+        carried = np.array(self.carried, np.int64)
+        now = (r * self.small + carried) // self.rounds
+        return (now.sum(1) + (((r + 1) * self.small[:q] + carried[:q]) // self.rounds - now[:, :q]).sum(1)).tolist()
 
     def rounds_of(self, q: int, first: int, n: int):
         """Blocks of the rounds that serve ids first..first+n of queue q, at most n rounds in all."""
@@ -217,13 +224,33 @@ class Rounds:
         k = bisect_right(self.tails, place) - 1
         return self.full + k, self.tails[k], self.tails[k + 1] if k + 1 < len(self.tails) else self.total
 
+    def shares(self, q: int, first: int, n: int):
+        """(round, start, length) of the ids first..first+n of queue q by the rounds that serve them."""
+        i = first
+        for r in (r for block in self.rounds_of(q, first, n) for r in block):
+            stop = min(self.served(q, r + 1), first + n)
+            if stop > i:
+                yield r, i - first, stop - i
+                i = stop
+
     def pieces(self, q: int, first: int, n: int):
-        """(start, length, sequence, offset) of the ids first..first+n of queue q; start counts from first.
-        Parts that are neighbours in a window as well are one piece."""
-        i, held = first, None
+        """(start, length, sequence, offset) of the ids first..first+n of queue q; start counts from first."""
+        return self.cut(self._placed(q, first, n))
+
+    def _placed(self, q: int, first: int, n: int):
+        i = first
         for r, place in ((r, p) for block in self.rounds_of(q, first, n) for r, p in zip(block, self.begins(q, block))):
-            place += i - self.served(q, r)
             stop = min(self.served(q, r + 1), first + n)
+            if stop > i:
+                yield i - first, stop - i, place + i - self.served(q, r)
+                i = stop
+
+    def cut(self, parts):
+        """(start, length, sequence, offset) of parts (start, length, place in the stream) of a document, cut
+        where windows end. Parts that are neighbours in a window as well are one piece."""
+        held = None
+        for i, n, place in parts:
+            stop = i + n
             while i < stop:
                 seq, low, high = self.window_of(place)
                 k = min(stop - i, high - place)
@@ -232,49 +259,94 @@ class Rounds:
                 else:
                     if held:
                         yield tuple(held)
-                    held = [i - first, k, seq, place - low]
+                    held = [i, k, seq, place - low]
                 i, place = i + k, place + k
         if held:
             yield tuple(held)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def _queue_key(queue: Column) -> Column:
+    """A key that is never null and sorts as queues do: by code point, null last."""
+    return F.coalesce(F.concat(F.lit("0"), queue), F.lit("1"))
+
+
+def _by_share(placed: DataFrame, by_queue: DataFrame, total: int, window: int) -> DataFrame:
+    """placed (row, queue, doc_id, n, start: place in the queue) as (row, parts): the places in the stream of each
+    document's shares, for any number of queues. by_queue: (queue, n, docs)."""
+    of = by_queue.select(_queue_key(F.col("queue")).alias("key"), F.col("n").alias("served"), "docs")
+    known = attach(placed.select("row", _queue_key(F.col("queue")).alias("key"), "start", "n"), of, "key", "docs", int(by_queue.agg(F.sum("docs")).first()[0] or 0))
+
+    def share(batches):
+        for b in batches:
+            of_each = zip(*(b.column(k).to_pylist() for k in range(5)))
+            made = (((row, key, r, first + at, at, n) for r, at, n in Rounds([served], window, total, [key]).shares(0, first, size)) for row, key, first, size, served in of_each)
+            yield from _batches_of(made, _SHARE)
+
+    shares = map_arrow(known.select("row", "key", "start", "n", "served"), share, _ddl(_SHARE)).withColumn("all", F.lit(0))
+    laid = running_offsets(shares, "all", [F.col("round"), F.col("key"), F.col("queued")], "length", "shares")
+    return laid.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "length", F.col("start").alias("place")))).alias("parts"))
+
+
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, with_ids: bool = True, queues: int = QUEUES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the
-    queue and the ids if wanted."""
+    queue and the ids if wanted. queues: how many a task may hold the totals of."""
     d = encoded(docs, path)
-    totals = {r["queue"]: int(r["n"]) for r in d.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    order = sorted(totals, key=lambda s: (s is None, s or ""))
-    index = {s: i for i, s in enumerate(order)}
-    sums = [totals[s] for s in order]
+    by_queue = cut(d.groupBy("queue").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "queues")
     placed = running_offsets(d.select("row", "queue", "doc_id", "n"), "queue", [F.col("doc_id").asc_nulls_last()], "n", "first")
-    joined = placed.select("row", "start").join(d, "row").select("doc_id", "queue", "start", "n", "ids")
     schema = _PIECE if with_ids else pa.schema(list(_PIECE)[:7])
+    few = by_queue.count() <= queues
+    if few:
+        totals = {r["queue"]: int(r["n"]) for r in by_queue.collect()}
+        order = sorted(totals, key=lambda s: (s is None, s or ""))
+        index, sums, keys = {s: i for i, s in enumerate(order)}, [totals[s] for s in order], ["1" if s is None else f"0{s}" for s in order]
+        where = placed.select("row", F.col("start").alias("at"))
+    else:
+        keys, sums = None, [int(by_queue.agg(F.sum("n")).first()[0] or 0)]
+        where = _by_share(placed, by_queue, sums[0], window).select("row", F.col("parts").alias("at"))
+    joined = where.join(d, "row").select("doc_id", "queue", "at", "n", "ids")
 
     def run(batches):
-        rounds = Rounds(sums, window)
+        rounds = Rounds(sums, window, None, keys)
+
+        def found(doc, queue, at, n, ids):
+            ids = memoryview(ids.as_buffer())
+            parts = rounds.pieces(index[queue], at, n) if few else rounds.cut((x["at"], x["length"], x["place"]) for x in at)
+            for start, length, seq, offset in parts:
+                piece = ids[4 * start : 4 * (start + length)]
+                row = (doc, start, length, zlib.crc32(piece), n, seq, offset)
+                yield (*row, queue, bytes(piece)) if with_ids else row
+
         for b in batches:
-            cols: list[list] = [[] for _ in schema]
-            docs_, queues, firsts, sizes = (b.column(k).to_pylist() for k in range(4))
-            for doc, queue, first, n, ids in zip(docs_, queues, firsts, sizes, b.column(4)):
-                ids = memoryview(ids.as_buffer())
-                for start, length, seq, offset in rounds.pieces(index[queue], first, n):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    row = (doc, start, length, zlib.crc32(piece), n, seq, offset)
-                    for c, x in zip(cols, (*row, queue, bytes(piece)) if with_ids else row):
-                        c.append(x)
-                if len(cols[0]) >= 20_000:
-                    yield _batch(cols, schema)
-                    cols = [[] for _ in schema]
-            if cols[0]:
-                yield _batch(cols, schema)
-
-    return map_arrow(joined, run, ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema))
+            columns = [*(b.column(k).to_pylist() for k in range(4)), b.column(4)]
+            yield from _batches_of((found(*x) for x in zip(*columns)), schema)
+
+    return map_arrow(joined, run, _ddl(schema))
+
+
+def _batches_of(pieces, schema: pa.Schema):
+    """Record batches of about 20,000 of the pieces."""
+    cols: list[list] = [[] for _ in schema]
+    for rows in pieces:
+        for row in rows:
+            for c, x in zip(cols, row):
+                c.append(x)
+        if len(cols[0]) >= 20_000:
+            yield _batch(cols, schema)
+            cols = [[] for _ in schema]
+    if cols[0]:
+        yield _batch(cols, schema)
 
 
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("queue", pa.string()), ("ids", pa.binary())])
+#: A document's share of a round: its place in the queue and in the document.
+_SHARE = pa.schema([("row", pa.int64()), ("key", pa.string()), *((n, pa.int64()) for n in ("round", "queued", "at", "length"))])
 _SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
+
+
 def _batch(cols: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 

@@ -34,3 +34,35 @@ def test_keep_listed_treats_nulls_alike_and_keeps_one_of_twins(spark):
 
 def test_scratch_folder_is_the_sessions(spark):
     assert common.scratch_root(spark) == (spark.sparkContext.getConf().get("spark.checkpoint.dir") or common.LOCAL_SCRATCH).rstrip("/")
+
+
+def test_scratch_tables_need_a_shared_folder_off_one_machine(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getConf = staticmethod(dict)
+
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        common.scratch_root(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.scratch_root(Session) == common.LOCAL_SCRATCH
+
+
+def test_a_released_table_is_gone(spark):
+    t = common.cut(spark.range(3))
+    assert t.count() == 3
+    common.release(t)
+    import os
+
+    assert not os.path.exists(t._scratch)
+
+
+def test_what_offsets_broadcast_does_not_grow_with_groups(spark):
+    df = spark.range(5000).selectExpr("id AS i", "cast(id AS string) AS g", "cast(1 AS long) AS n")
+    out = common.running_offsets(df, "g", [F.col("i")], "n")
+    assert out.count() == 5000 and out.agg(F.max("start")).first()[0] == 0

@@ -67,3 +67,18 @@ def test_a_hot_group_is_joined_apart(spark, monkeypatch):
     assert 4000 > max(1000, len(rows) // common.HOT_SHARE)
     got = X.exact_dedup_report(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.count() == 6000 and got.filter("group_size = 4000").count() == 4000 and got.filter("kept").count() == 2001
+
+
+def test_outlying_and_missing_ids_do_not_gather_the_rest_in_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(X, "SHARD", 100)
+    sizes, build = [], X.build_index
+    monkeypatch.setattr(X, "build_index", lambda seen, asked=0: sizes.append((seen.count(), asked, build(seen, asked).agg({"shards": "max"}).first()[0])) or build(seen, asked))
+    rows = [(-(10**15), "far off")] + [(i, f"text {i}") for i in range(1500)]
+    got = X.exact_dedup_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("kept").count() == 1501
+    assert min(sizes[0][:2]) > 500 and sizes[0][2] >= 7
+    nameless = spark.createDataFrame([(None, f"text {i}") for i in range(1500)], "doc_id long, text string")
+    asked = []
+    look = X.lookup
+    monkeypatch.setattr(X, "lookup", lambda index, df, shards: asked.append(shards) or look(index, df, shards))
+    assert X.exact_dedup_report(nameless).filter("kept").count() == 1500 and asked == [15]

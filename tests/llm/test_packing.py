@@ -26,7 +26,8 @@ def test_rounds_serve_every_id_once():
     rng = random.Random(2)
     for totals in ([5, 0, 17, 1], [1], [64], [rng.randrange(1, 300) for _ in range(9)]):
         for window in (8, 16):
-            r, large = P.Rounds(totals, window), P.Rounds(totals, window)
+            keys = [f"0{k}" for k in range(len(totals))]
+            r, large = P.Rounds(totals, window, None, keys), P.Rounds(totals, window, None, keys)
             large.small = None  # as when 64 bits are too few
             assert [x for q, n in enumerate(totals) if n for x in r.pieces(q, 0, n)] == [x for q, n in enumerate(totals) if n for x in large.pieces(q, 0, n)]
             seen = defaultdict(dict)
@@ -109,3 +110,29 @@ def test_forgetting_changes_nothing(monkeypatch):
     for x in [f"w{i % 7}x{i % 3}." for i in range(60)]:
         assert all_.setdefault(x, few.of(x.encode())) == few.of(x.encode())
         assert len(few) <= 7
+
+
+def test_many_queues_are_packed_alike_by_either_way(spark):
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.choice([0, 1, 3, 40, 400]), None if i % 97 == 0 else f"site{i % 61 if i % 3 else 0}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table = sorted(map(tuple, P.pack(docs, window=128, with_ids=False).collect()))
+    assert table == sorted(map(tuple, P.pack(docs, window=128, with_ids=False, queues=3).collect()))
+    assert P.pack(docs.filter("false"), queues=-1).count() == 0
+
+
+def test_over_1024_sources_keep_their_proportions_in_every_window(spark):
+    n = P.QUEUES + 200
+    rows = [(k * n + i, "word " * (199 if i == 0 else 3), f"s{i:05}") for i in range(n) for k in range(2)]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), window=1024).collect()
+    total, full = sum(r.length for r in got), [r for r in got if r.sequence_id < sum(x.length for x in got) // 1024]
+    hot, by_seq = Counter(), Counter()
+    for r in full:
+        by_seq[r.sequence_id] += r.length
+        hot[r.sequence_id] += r.length * (r.queue == "s00000")
+    share = 400 / total
+    assert all(v == 1024 for v in by_seq.values())
+    so_far = np.cumsum([hot[s] for s in sorted(by_seq)])  # what is ahead or behind at a window's end is less than a round's part
+    assert all(abs(x - 1024 * share * k) <= 1024 * share + 2 for k, x in enumerate(so_far.tolist(), 1))
+    small = Counter(r.queue for r in full for _ in range(r.length))
+    assert len(small) == n
