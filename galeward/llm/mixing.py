@@ -5,10 +5,12 @@ weight, no source over CAP times its own words, the excess shared again by weigh
 
 Balancing: among all rates that meet the token constraints, the one nearest to rate 1 (in
 relative entropy, tokens as the measure) tilts a document's rate exponentially in the constraints it
-falls under, rate = exp(sum of their multipliers). The multipliers minimise a convex dual, found by
-damped Newton steps whose gradient and Hessian are sums over the cells (documents alike in all
-constraint columns), aggregated by Spark. With the source as the only constraint column, a rate is
-target / words of its source. `margins` may name further columns, each with targets of its own.
+falls under, rate = exp(sum of their multipliers). The multipliers minimise a convex dual. Constraints of one
+column never share a document, so the dual's Hessian is diagonal within a column, and damped Newton steps
+of all its multipliers are taken at once, each from its own row's tokens; columns take turns until none
+moves. Tokens are summed by Spark over the cells (documents alike in all constraint columns), and multipliers
+stay in tables: no matrix and no list of sources is ever on the driver. With the source as the only column, a rate is
+target / words of its source.
 
 Rounding: a document of rank k in its cell, largest first, gets the whole numbers between
 k * rate and (k + 1) * rate as copies. Ranks are a distributed prefix sum, and neighbours in rank are alike in size,
@@ -22,11 +24,10 @@ rows with all their columns.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, fresh, read, running_offsets, text_of
+from .common import BLANKS, attach, cut, fresh, read, running_offsets, text_of
 
 CAP = 3.0
 CYCLE = (1, 2, 3)
@@ -40,107 +41,77 @@ def words_in(text: Column) -> Column:
     return F.when(text.rlike(f"[^{BLANKS}]"), F.length(bare)).otherwise(0).cast("long")
 
 
-def water_fill(sizes: list[int], weights: list[int], cap: float = CAP) -> list[float]:
-    """Targets that share the sum of sizes by weight, none over cap times its size."""
-    total, n = float(sum(sizes)), len(sizes)
-    targets, open_ = [0.0] * n, [i for i in range(n)]
-    left = total
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if weights[i] * unit > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = weights[i] * unit
+def water_fill(sources: DataFrame, cap: float = CAP) -> DataFrame:
+    """sources (mass, weight, ...) with `target`: the sum of all masses shared by weight, none over cap times its mass.
+
+    The water level solves sum(least(cap * mass, weight * level)) = total, whose left side is concave, so Newton steps from
+    below reach it exactly once the sources under it are settled. A step is one sum over the sources."""
+    top = F.col("mass") * cap
+    total, weights = sources.agg(F.sum("mass"), F.sum("weight")).first()
+    level = total / weights if weights else 0.0
+    while weights:
+        under = top < F.col("weight") * F.lit(level)
+        capped, open_ = sources.agg(F.coalesce(F.sum(F.when(under, top)), F.lit(0.0)), F.coalesce(F.sum(F.when(~under, F.col("weight"))), F.lit(0))).first()
+        risen = (total - capped) / open_ if open_ else level
+        if risen <= level:
             break
-        for i in over:
-            targets[i] = cap * sizes[i]
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return targets
-
-
-def source_targets(by_source: list[tuple[str | None, int]]) -> dict[str | None, float]:
-    order = sorted((s for s in by_source), key=lambda s: (s[0] is None, s[0] or ""))
-    weights = [CYCLE[i % len(CYCLE)] for i in range(len(order))]
-    return dict(zip((s for s, _ in order), water_fill([n for _, n in order], weights)))
-
-
-def solve(cells: DataFrame, margins: dict[str, dict], rounds: int = 60, tolerance: float = 1e-12) -> dict[str, dict]:
-    """Multipliers by column and value. cells: the margins' columns and `mass`, tokens of each cell.
-
-    Every Newton step takes the tokens under the present rates by value and by pair of values (the
-    gradient and the Hessian) from Spark; the driver holds only one number for each pair."""
-    names = [(c, v) for c, t in margins.items() for v, goal in t.items() if goal > 0]
-    at = {cv: i for i, cv in enumerate(names)}
-    goal = np.array([margins[c][v] for c, v in names])
-    x = np.zeros(len(names))
-    value = None
-    cells = cut(cells.filter("mass > 0"), "cells")
+        level = risen
+    return sources.withColumn("target", F.least(top, F.col("weight") * F.lit(level)))
+
+
+def source_targets(sources: DataFrame) -> DataFrame:
+    """sources (source, mass, docs) with weight and target. Weights go by place in code-point order, null last."""
+    placed = running_offsets(sources.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")}), "_all", [F.col("source").asc_nulls_last()], "_one", "srank")
+    weight = F.element_at(F.array(*map(F.lit, CYCLE)), (F.col("start") % len(CYCLE) + 1).cast("int"))
+    return cut(water_fill(cut(placed.withColumn("weight", weight).drop("start", "_all", "_one"), "weights")), "targets")
+
+
+def _key(value: Column) -> Column:
+    """A text that stands for the value, null too."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def _newton(x: Column, mass: Column, goal: Column, steps: int = 60) -> Column:
+    """The multiplier at which mass * exp(x) is goal, by damped Newton steps."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda at, _: at - F.greatest(F.lit(-2.0), 1 - goal / (mass * F.exp(at))))
+
+
+def solve(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, tolerance: float = 1e-12) -> dict[str, DataFrame]:
+    """Multipliers as tables (key, x) by column. cells: the constraint columns and `mass`, tokens of each cell.
+    goals: by column a table (value, goal); goals of 0 get no multiplier."""
+    cells = cut(cells.filter("mass > 0").select("mass", *[_key(F.col(c)).alias(c) for c in goals]), "cells")
+    found = {c: cut(t.filter("goal > 0").select(_key(F.col("value")).alias("key"), "goal", F.lit(0.0).alias("x")), "dual") for c, t in goals.items()}
     for _ in range(rounds):
-        tilt = F.lit(0.0)
-        for c in margins:
-            tilt = tilt + _mapped(F.col(c), {v: float(x[i]) for (k, v), i in at.items() if k == c})
-        rated = cells.withColumn("_m", F.col("mass") * F.exp(tilt))
-        grad, hess = -goal.copy(), np.zeros((len(names), len(names)))
-        for i, c in enumerate(margins):
-            for d in list(margins)[i:]:
-                for r in rated.groupBy(F.col(c).alias("a"), F.col(d).alias("b")).agg(F.sum("_m").alias("m")).collect():
-                    p, q = at.get((c, r["a"])), at.get((d, r["b"]))
-                    if p is None or q is None:
-                        continue
-                    hess[p, q] += r["m"]
-                    if c == d:
-                        grad[p] += r["m"]
-                    else:
-                        hess[q, p] += r["m"]
-        if np.abs(grad / goal).max(initial=0.0) < tolerance:
+        far = 0.0
+        for c in goals:
+            rated, mass = cells, F.col("mass")
+            for other in goals:
+                if other != c:
+                    rated = rated.join(found[other].select(F.col("key").alias(other), F.col("x").alias(f"_{other}")), other)
+                    mass = mass * F.exp(F.col(f"_{other}"))
+            sums = rated.groupBy(F.col(c).alias("key")).agg(F.sum(mass).cast("double").alias("m"))
+            moved = found[c].join(sums, "key").select("key", "goal", _newton(F.col("x"), F.col("m"), F.col("goal")).alias("x"), F.abs(F.col("m") * F.exp("x") / F.col("goal") - 1).alias("far"))
+            moved = cut(moved, "dual")
+            far = max(far, moved.agg(F.max("far")).first()[0] or 0.0)
+            found[c] = moved.drop("far")
+        if far < tolerance or len(goals) == 1:
             break
-        now = float(np.diag(hess).sum() / max(len(margins), 1) - goal @ x)
-        step = np.linalg.lstsq(hess, grad, rcond=None)[0]
-        if value is not None and now > value + 1e-9 * abs(value):  # the last step went too far
-            x = x + last / 2
-            last = last / 2
-            continue
-        last = np.clip(step, -2.0, 2.0)
-        value, x = now, x - last
-    out: dict[str, dict] = {c: {} for c in margins}
-    for (c, v), i in at.items():
-        out[c][v] = float(x[i])
-    return out
-
-
-def _mapped(key: Column, values: dict, missing: float = 0.0) -> Column:
-    """The value of each key, by a literal map; null is a key too."""
-    known = {k: v for k, v in values.items() if k is not None}
-    flat = [F.lit(x) for kv in known.items() for x in kv]
-    found = F.try_element_at(F.create_map(*flat), key) if flat else F.lit(None).cast("double")
-    return F.when(key.isNull(), F.lit(values.get(None, missing))).otherwise(F.coalesce(found, F.lit(missing)))
-
-
-def rates(cells: DataFrame, margins: dict[str, dict], cap: float = CAP) -> Column:
-    """A document's rate as whole parts of GRAIN, a column over the margins' columns; 0 where a target is 0."""
-    found = solve(cells, margins)
-    tilt, none = F.lit(0.0), F.lit(False)
-    for c, goals in margins.items():
-        tilt = tilt + _mapped(F.col(c), found[c])
-        none = none | (_mapped(F.col(c), {v: float(g > 0) for v, g in goals.items()}) == 0.0)
-    return F.when(none, F.lit(0)).otherwise(F.round(F.least(F.exp(tilt), F.lit(cap)) * GRAIN)).cast("long")
+    return {c: t.select("key", "x") for c, t in found.items()}
 
 
 def mix(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken, and the `extra` columns, a row for each document."""
     d = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(text_of()).alias("size"), *extra), "mix")
-    cells = d.groupBy("source").agg(F.sum("size").alias("mass"))
-    sizes = {r["source"]: int(r["mass"]) for r in cells.collect()}
-    targets = source_targets(list(sizes.items()))
-    rated = d.withColumn("_rate", rates(cells, {"source": targets})).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_offsets(rated, "source", [F.col("size").desc(), F.col("doc_id").asc_nulls_last()], "_one", "rank")
+    sources = source_targets(cut(d.groupBy("source").agg(F.sum("size").alias("mass"), F.count("*").alias("docs")), "sources"))
+    tilt = solve(sources.select("source", "mass"), {"source": sources.select(F.col("source").alias("value"), F.col("target").alias("goal"))})["source"]
+    keyed = sources.withColumn("key", _key(F.col("source"))).join(tilt, "key", "left")
+    rate = F.coalesce(F.round(F.least(F.exp("x"), F.lit(CAP)) * GRAIN).cast("long"), F.lit(0).cast("long"))
+    rates = cut(keyed.select("key", F.col("mass").alias("source_size"), "target", rate.alias("_rate"), "docs"), "rates")
+    ranked = running_offsets(d.withColumn("_one", F.lit(1).cast("long")), "source", [F.col("size").desc(), F.col("doc_id").asc_nulls_last()], "_one", "rank")
+    rated = attach(ranked.withColumn("key", _key(F.col("source"))), rates, "key", "docs", int(rates.agg(F.sum("docs")).first()[0] or 0))
     whole = "CAST(({k}) AS DECIMAL(19,0)) * CAST(_rate AS DECIMAL(12,0)) DIV CAST({g} AS DECIMAL(12,0))"
     copies = F.expr(whole.format(k="start + 1", g=GRAIN)) - F.expr(whole.format(k="start", g=GRAIN))
-    return ranked.select(
-        "doc_id", "source", "size", _mapped(F.col("source"), {k: float(v) for k, v in sizes.items()}).cast("long").alias("source_size"),
-        _mapped(F.col("source"), targets).alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra,
-    )
+    return rated.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
