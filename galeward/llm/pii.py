@@ -11,7 +11,8 @@ over votes and shape, and candidates of at least ACCEPT by it that overlap no ba
 Counts of vote patterns number at most kinds * 3^labelers * shapes whatever the corpus holds, so they may
 reach the driver, where both fits are a few sums; texts are scanned once, and no text is shuffled.
 
-Patterns are written so that a long run of any character is passed in linear time and without recursion:
+Patterns are written so that a long run of any character is passed in linear time and without recursion, and places are
+sums by blocks of matches, so many matches in a text cost no more each than few:
 possessive loops, and starts only where a run begins or the last match ended.
 
 Cases: null text is empty and has no spans; a span's place counts code points, its end is exclusive; ties
@@ -31,6 +32,9 @@ from .common import cut, read, text_of
 KINDS = ("email", "ip", "card", "phone", "secret")
 ACCEPT = 0.9
 LABELERS = ("pattern", "gazetteer", "context", "shape")
+#: Elements of a block where running sums and the like are taken.
+BLOCK = 512
+_FAR = 2**31 - 1
 #: Characters before a candidate in which context labelers look for their words.
 REACH = 24
 
@@ -70,42 +74,69 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def spans(text: Column, kind: str, pattern: str, base) -> Column:
-    """All leftmost non-overlapping matches with their places and the text before them. The gaps between
-    matches and the matches alternate, so places are running sums of lengths."""
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(xs: Column) -> Column:
+    """An array cut into arrays of BLOCK elements."""
+    last = F.call_function("div", F.size(xs) - 1, F.lit(BLOCK)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(xs, j * BLOCK + 1, F.lit(BLOCK)))
+
+
+def before(xs: Column, op, zero: int) -> Column:
+    """For each element of an array of ints, op over all elements before it (`zero` over none). Each block of
+    BLOCK elements is summed up, then each element adds up its block's part before it to the sums of the blocks
+    before, so an element costs a look at BLOCK + length / BLOCK others, not at the length."""
+    total = lambda b: F.aggregate(b, F.lit(zero), op)
+    earlier = lambda ys: F.transform(ys, lambda _, i: total(F.slice(ys, 1, i)))
+
+    def of(blocks):
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), earlier(F.transform(blocks, total)).alias("h")), lambda z: F.transform(earlier(z["b"]), lambda x: op(z["h"], x))))
+
+    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(_let(_blocks(xs), of))
+
+
+def spans(text: Column, kind: str, pattern: str, passed) -> Column:
+    """All leftmost non-overlapping matches with their places and the text before them; `passed(match)`: true
+    for a base span, false for a candidate, null for neither. The gaps between matches and the matches
+    alternate, so places are running sums of lengths."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def step(acc, x):
-        s = (acc["p"] + F.length(x["g"])).cast("int")
-        e = (s + F.length(F.coalesce(x["m"], F.lit("")))).cast("int")
-        one = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("m"), F.lower(F.right(x["g"], F.lit(REACH))).alias("c"), base(F.coalesce(x["m"], F.lit(""))).alias("base"))
-        return F.struct(e.alias("p"), F.when(x["m"].isNull(), acc["o"]).otherwise(F.array_append(acc["o"], one)).alias("o"))
+    def found(parts):
+        size = F.transform(parts, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
 
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(_SPAN).alias("o"))
-    return F.aggregate(zipped, start, step, lambda acc: acc["o"])
+        def placed(at):
+            def one(x, i):
+                s = F.get(at, i) + F.length(x["g"])
+                return F.struct(F.lit(kind).alias("kind"), s.cast("int").alias("s"), (s + F.length(x["m"])).cast("int").alias("e"), x["m"].alias("m"), F.lower(F.right(x["g"], F.lit(REACH))).alias("c"), F.when(x["m"].isNotNull(), passed(x["m"])).alias("base"))
 
+            return F.filter(F.transform(parts, one), lambda x: x["base"].isNotNull())
 
-def base_spans(text: Column) -> Column:
-    """The base spans, unsorted; card and phone matches that fail their check are left out."""
-    none = F.array().cast(_SPAN)
-    found = [
-        F.when(F.contains(text, F.lit("@")), spans(text, "email", EMAIL, lambda m: F.lit(True))),
-        F.when(text.rlike(r"[0-9]\.[0-9]"), spans(text, "ip", IP, lambda m: m.rlike(IP_VALID))),
-        F.when(text.rlike("[0-9]"), spans(text, "card", CARD, lambda m: F.length(_digits(m)).between(14, 19) & _luhn(_digits(m)))),
-        F.when(F.contains(text, F.lit("+")), spans(text, "phone", PHONE, lambda m: F.length(_digits(m)).between(10, 15))),
-    ]
-    return F.concat(*[F.coalesce(x, none) for x in found])
+        return _let(before(size, lambda x, y: x + y, 0), placed)
 
+    return _let(zipped, found).cast(_SPAN)
 
-def further_spans(text: Column) -> Column:
+
+def every_span(text: Column) -> Column:
+    """The base spans and the further candidates, unsorted. Card groups that fail their check are candidates; other matches
+    that fail theirs are left out."""
     none = F.array().cast(_SPAN)
-    no = lambda m: F.lit(False)
+    only = lambda ok: F.when(ok, True)
+    size = lambda m: F.length(_digits(m))
+    card = lambda m: F.when(size(m).between(13, 19), size(m).between(14, 19) & _luhn(_digits(m)))
+    further = lambda m: F.lit(False)
     numbers = text.rlike("[0-9]")
     found = [
-        F.when(text.rlike(r"[(\[]at[)\]]"), spans(text, "email", SPELT_EMAIL, no)),
-        F.when(F.contains(text, F.lit(":")) & numbers, spans(text, "ip", IPV6, no)),
-        F.when(numbers, spans(text, "phone", NATIONAL_PHONE, no)),
-        F.when(numbers, spans(text, "secret", SECRET, no)),
+        F.when(F.contains(text, F.lit("@")), spans(text, "email", EMAIL, lambda m: F.lit(True))),
+        F.when(text.rlike(r"[0-9]\.[0-9]"), spans(text, "ip", IP, lambda m: only(m.rlike(IP_VALID)))),
+        F.when(numbers, spans(text, "card", CARD, card)),
+        F.when(F.contains(text, F.lit("+")), spans(text, "phone", PHONE, lambda m: only(size(m).between(10, 15)))),
+        F.when(text.rlike(r"[(\[]at[)\]]"), spans(text, "email", SPELT_EMAIL, further)),
+        F.when(F.contains(text, F.lit(":")) & numbers, spans(text, "ip", IPV6, further)),
+        F.when(numbers, spans(text, "phone", NATIONAL_PHONE, further)),
+        F.when(numbers, spans(text, "secret", SECRET, further)),
     ]
     return F.concat(*[F.coalesce(x, none) for x in found])
 
@@ -140,10 +171,7 @@ def _votes(x: Column) -> dict[str, Column]:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, found): a scratch table of the documents' candidate spans with votes and a size class."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_t"))
-    every = F.concat(base_spans(F.col("_t")), further_spans(F.col("_t")))
-    # card groups that fail their check are further candidates; other base matches that fail are none
-    wanted = F.filter(every, lambda x: x["base"] | (x["kind"] == "secret") | ~x["kind"].isin("ip", "card", "phone") | ((x["kind"] == "card") & F.length(_digits(x["m"])).between(13, 19)) | ((x["kind"] == "phone") & ~F.startswith(x["m"], F.lit("+"))) | ((x["kind"] == "ip") & F.contains(x["m"], F.lit(":"))))
-    voted = F.transform(wanted, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), F.least(F.floor((x["e"] - x["s"]) / 8), F.lit(7)).cast("int").alias("size"), *[v.cast("int").alias(k) for k, v in _votes(x).items()]))
+    voted = F.transform(every_span(F.col("_t")), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), F.least(F.floor((x["e"] - x["s"]) / 8), F.lit(7)).cast("int").alias("size"), *[v.cast("int").alias(k) for k, v in _votes(x).items()]))
     return cut(d.select("doc_id", voted.alias("found")), "pii")
 
 
@@ -216,16 +244,24 @@ def _accepted(x: Column, chances: dict[str, dict[tuple, float]]) -> Column:
     return name.isin(*listed) if listed else F.lit(False)
 
 
+def free_of_base(xs: Column) -> Column:
+    """The elements of an array sorted by start that are base spans or overlap none of them: those before end
+    no later than it starts, and those behind start no earlier than it ends."""
+    ends = before(F.transform(xs, lambda x: F.when(x["base"], x["e"]).otherwise(0)), lambda x, y: F.greatest(x, y), 0)
+    starts = F.reverse(before(F.reverse(F.transform(xs, lambda x: F.when(x["base"], x["s"]).otherwise(_FAR))), lambda x, y: F.least(x, y), _FAR))
+    return _let(ends, lambda es: _let(starts, lambda ss: F.filter(xs, lambda x, i: x["base"] | ((F.get(es, i) <= x["s"]) & (F.get(ss, i) >= x["e"])))))
+
+
 def pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of start, place of the kind in KINDS, end, kind; sorted): a row for each document."""
     found = candidates(docs)
     chances = classifier(found)
     place = lambda k: F.coalesce(*[F.when(k == name, i) for i, name in enumerate(KINDS)])
-    bare = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct(x["s"].alias("s"), place(x["kind"]).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    base = F.filter("found", lambda x: x["base"])
-    more = F.filter("found", lambda x: ~x["base"] & _accepted(x, chances) & ~F.exists(F.col("base_"), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    split = found.withColumn("base_", base).withColumn("more_", more)
-    return split.select("doc_id", bare(F.col("base_")).alias("base"), bare(F.concat("base_", "more_")).alias("spans"))
+    bare = lambda xs: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), place(x["kind"]).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base")))
+    some = F.filter("found", lambda x: x["base"] | _accepted(x, chances))
+    kept = _let(F.array_sort(bare(some)), free_of_base)
+    split = found.select("doc_id", kept.alias("spans"))
+    return split.select("doc_id", F.filter("spans", lambda x: x["base"]).alias("base"), "spans")
 
 
 def _written(xs: str) -> Column:
