@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -12,16 +12,19 @@ def mean_rank_share(value: Column, by: Sequence[Column | str], descending: bool
     """Rank with ties averaged, as a share of the non-null values of the partition; null for null.
 
     Neither percent_rank nor cume_dist: equal values get the mean of the ranks they cover."""
-    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    ties = F.count(value).over(Window.partitionBy(*by, value))
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    return F.when(value.isNotNull(), (rank + (ties - 1) / 2.0) / F.count(value).over(Window.partitionBy(*by)))
+    ranked = Window.partitionBy(*by).orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last())
+    return F.when(value.isNotNull(), _mid_rank(value, ranked) / F.count(value).over(Window.partitionBy(*by)))
 
 
 def mean_rank(value: Column, by: Sequence[Column | str]) -> Column:
     """Rank with ties averaged, ascending from 1."""
-    ties = F.count(value).over(Window.partitionBy(*by, value))
-    return F.when(value.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(value.asc_nulls_last())) + (ties - 1) / 2.0)
+    return F.when(value.isNotNull(), _mid_rank(value, Window.partitionBy(*by).orderBy(value.asc_nulls_last())))
+
+
+def _mid_rank(value: Column, ranked: WindowSpec) -> Column:
+    """The rows of equal value are a frame of the same sorted window, so ranks and ties cost one sort."""
+    ties = F.count(value).over(ranked.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(ranked) + (ties - 1) / 2.0
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -60,7 +63,3 @@ def is_extreme(share: Column, tail: float = 0.05) -> Column:
 def primary_method(a: str, b: str) -> str:
     """Spearman for a pair with precipitation, whose many zeros distort Pearson."""
     return "spearman" if "precipitation" in (a, b) else "pearson"
-
-
-def pretty_label(name: Column) -> Column:
-    return F.initcap(F.regexp_replace(name, "[_-]", " "))

@@ -109,6 +109,37 @@ def window_effect(pairs: DataFrame, short: str, long: str, others: Sequence[str]
     return both.select(*by, F.lit(short).alias("density_method"), "statistical_method", F.col(f"j_{short}").alias("jaccard_short"), F.col(f"j_{long}").alias("jaccard_long"), (F.col(f"j_{long}") - F.col(f"j_{short}")).alias("change"), "self_agreement")
 
 
+def recurrence_kinds(pairs: DataFrame, by: Sequence[str] = ("sensor",)) -> DataFrame:
+    """pairs of variants named <architecture>_<anything>, with `kind`: within an architecture's method or across."""
+    arch = lambda c: F.substring_index(c, "_", 1)
+    method = lambda c: F.concat(F.lit("within "), F.when(arch(c) == "dense", "autoencoder").otherwise(F.concat(arch(c), F.lit("_ae"))))
+    return pairs.withColumn("kind", F.when(arch("method_a") == arch("method_b"), method("method_a")).otherwise("cross-architecture"))
+
+
+def kind_summary(pairs: DataFrame, by: Sequence[str] = ("sensor",)) -> DataFrame:
+    """(by, kind, mean, min, max, n_pairs) of the Jaccards."""
+    return pairs.groupBy(*by, "kind").agg(F.avg("jaccard").alias("mean"), F.min("jaccard").alias("min"), F.max("jaccard").alias("max"), F.count("*").alias("n_pairs"))
+
+
+def both_views(table: DataFrame) -> DataFrame:
+    """(sensor, method_a, method_b, jaccard, view): the native flags' agreement and that of equal budgets."""
+    rows = align(table)
+    view = lambda flags, name: jaccard(pair_counts(flags)).select("sensor", "method_a", "method_b", "jaccard", F.lit(name).alias("view"))
+    return view(rows, "native").unionByName(view(matched_budget(rows), "matched_budget"))
+
+
+def pair_columns(pairs: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
+    """One row for each `by` with a column for each pair, named "a vs b"."""
+    return pairs.withColumn("_pair", F.concat_ws(" vs ", "method_a", "method_b")).groupBy(*by).pivot("_pair").agg(F.first("jaccard"))
+
+
+def pair_rows(wide: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
+    """The way back from pair_columns: (by, method_a, method_b, jaccard)."""
+    long = wide.unpivot(list(by), [c for c in wide.columns if c not in by], "_pair", "jaccard").filter("jaccard IS NOT NULL")
+    part = F.split("_pair", " vs ")
+    return long.select(*by, F.get(part, 0).alias("method_a"), F.get(part, 1).alias("method_b"), "jaccard")
+
+
 def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> bool:
     """Whether two tables have the same set of keys."""
     x, y = a.select(*keys).distinct(), b.select(*keys).distinct()

@@ -19,6 +19,9 @@ CONTEXTUAL = "z_score_context_hour"
 CONTROLS = ("lof_6h", "isolation_forest_6h")
 PLAUSIBLE = (500.0, 1100.0)
 BASELINE = "baseline (all aligned rows)"
+# Words of the verdict report.
+UNDECIDED = "inconclusive by construction"
+ONE_CHANNEL = "no detector in the roster reads a second channel"
 
 
 def family_of(method: Column) -> Column:
@@ -167,7 +170,7 @@ def point_verdict(runs: DataFrame, method: str = "z_score", other: str = "lstm_a
     share = lambda m: F.max(F.when(F.col("method") == m, F.col("share_isolated")))
     t = runs.groupBy("sensor").agg(share(method).alias("a"), share(other).alias("b"))
     text = F.format_string(f"%.1f%% of {method} flags are isolated single bins against %.1f%% for {other}", F.col("a") * 100, F.col("b") * 100)
-    verdict = F.when(F.col("a").isNull() | F.col("b").isNull(), "inconclusive by construction").when(F.col("a") > F.col("b"), "consistent").otherwise("inconsistent")
+    verdict = F.when(F.col("a").isNull() | F.col("b").isNull(), UNDECIDED).when(F.col("a") > F.col("b"), "consistent").otherwise("inconsistent")
     return t.select("sensor", F.lit("point").alias("anomaly_type"), verdict.alias("verdict"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), text).alias("evidence"))
 
 
@@ -175,7 +178,7 @@ def collective_verdict(runs: DataFrame, method: str = "lstm_ae", other: str = "z
     share = lambda m: F.max(F.when(F.col("method") == m, F.col("share_in_long_runs")))
     t = runs.groupBy("sensor").agg(share(method).alias("a"), share(other).alias("b"))
     text = F.format_string(f"%.1f%% of {method} flags lie in runs of an hour or more against %.1f%% for {other}", F.col("a") * 100, F.col("b") * 100)
-    verdict = F.when(F.col("a").isNull() | F.col("b").isNull(), "inconclusive by construction").when(F.col("a") > F.col("b"), "consistent").otherwise("inconsistent")
+    verdict = F.when(F.col("a").isNull() | F.col("b").isNull(), UNDECIDED).when(F.col("a") > F.col("b"), "consistent").otherwise("inconsistent")
     return t.select("sensor", F.lit("collective").alias("anomaly_type"), verdict.alias("verdict"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), text).alias("evidence"))
 
 
@@ -184,6 +187,6 @@ def contextual_verdict(profile: DataFrame, method: str = CONTEXTUAL) -> DataFram
     own = F.max(F.when(F.col("method") == method, F.col("share_contextual_only")))
     rest = F.max(F.when(~F.col("method").isin(method, BASELINE), F.col("share_contextual_only")))
     t = profile.groupBy("sensor").agg(own.alias("a"), rest.alias("b"))
-    verdict = F.when(F.col("a").isNull(), "inconclusive by construction").when(F.col("a") > F.coalesce("b", F.lit(0.0)), "consistent").otherwise("inconsistent")
+    verdict = F.when(F.col("a").isNull(), UNDECIDED).when(F.col("a") > F.coalesce("b", F.lit(0.0)), "consistent").otherwise("inconsistent")
     text = F.format_string(f"%.1f%% of {method} flags are odd for their hour alone; no other method exceeds %.1f%%", F.col("a") * 100, F.coalesce("b", F.lit(0.0)) * 100)
-    return t.select("sensor", F.lit("contextual").alias("anomaly_type"), verdict.alias("verdict"), F.when(F.col("a").isNotNull(), text).otherwise("no detector in the roster reads a second channel").alias("evidence"))
+    return t.select("sensor", F.lit("contextual").alias("anomaly_type"), verdict.alias("verdict"), F.when(F.col("a").isNotNull(), text).otherwise(ONE_CHANNEL).alias("evidence"))

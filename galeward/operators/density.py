@@ -52,6 +52,27 @@ def _path(n) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(m) + np.euler_gamma) - 2 * m / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def _grow(x: np.ndarray, height: int, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree over the rows of x: feature (-1 at a leaf), place and first child of each node (the second follows),
+    and at a leaf the depth that a search ends at."""
+    feature, place, child, depth = [-1], [0.0], [0], [0.0]
+    waiting = [(0, x, 0)]
+    for node, own, level in waiting:
+        low, high = own.min(0), own.max(0)
+        wide = np.flatnonzero(high > low)
+        if level == height or not len(wide):
+            depth[node] = level + float(_path(len(own)))
+            continue
+        f = int(rng.choice(wide))
+        feature[node], place[node], child[node] = f, rng.uniform(low[f], high[f]), len(feature)
+        above = own[:, f] > place[node]
+        for part in (own[~above], own[above]):
+            waiting.append((len(feature), part, level + 1))
+            for column, empty in ((feature, -1), (place, 0.0), (child, 0), (depth, 0.0)):
+                column.append(empty)
+    return np.array(feature), np.array(place), np.array(child), np.array(depth)
+
+
 def isolation_forest(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> np.ndarray:
     """2^(-mean depth / expected depth) of every row. Trees split rows of a sample at random places; all rows go
     down a tree level by level."""
@@ -61,41 +82,14 @@ def isolation_forest(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMP
     if n == 0:
         return np.zeros(0)
     height = int(np.ceil(np.log2(max(size, 2))))
-    total = np.zeros(n)
+    total, rows = np.zeros(n), np.arange(n)
     for _ in range(trees):
-        sample = rng.choice(n, size, replace=False)
-        at, where, depth = np.zeros(n, np.int64), np.zeros(size, np.int64), np.zeros(n)
-        done = np.zeros(n, bool)
-        for level in range(height + 1):
-            nodes, counts = np.unique(where, return_counts=True)
-            feature, place = {}, {}
-            for node, count in zip(nodes.tolist(), counts.tolist()):
-                own = x[sample[where == node]]
-                low, high = own.min(0), own.max(0)
-                wide = np.flatnonzero(high > low)
-                leaf = level == height or count <= 1 or not len(wide)
-                if leaf:
-                    here = (at == node) & ~done
-                    depth[here] = level + _path(count)
-                    done |= here
-                else:
-                    f = int(rng.choice(wide))
-                    feature[node], place[node] = f, rng.uniform(low[f], high[f])
-            if not feature:
-                break
-            f = np.zeros(int(max(nodes)) + 1, np.int64)
-            p = np.full(len(f), np.inf)
-            for node in feature:
-                f[node], p[node] = feature[node], place[node]
-            go = ~done
-            at[go] = 2 * at[go] + 1 + (x[go, f[at[go]]] > p[at[go]])
-            alive = np.isin(where, list(feature))
-            sample, where = sample[alive], where[alive]
-            where = 2 * where + 1 + (x[sample, f[where]] > p[where])
-            rank = {int(v): i for i, v in enumerate(np.unique(np.r_[at[go], where]))}
-            at[go] = [rank[int(v)] for v in at[go]]
-            where = np.array([rank[int(v)] for v in where], np.int64)
-        total += depth
+        feature, place, child, depth = _grow(x[rng.choice(n, size, replace=False)], height, rng)
+        node = np.zeros(n, np.int64)
+        for _ in range(height):
+            f = feature[node]
+            node = np.where(f < 0, node, child[node] + (x[rows, f] > place[node]))
+        total += depth[node]
     return 2.0 ** (-(total / trees) / max(float(_path(size)), 1e-12))
 
 

@@ -113,6 +113,11 @@ def tie_degeneracy(features: DataFrame, by: Sequence[str] = CELL, digits: int =
     return alike.groupBy(*by).agg(total.alias("n_scored"), (F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / total).alias("duplicate_share"), (F.max("n") / total).alias("largest_tied_group_share"))
 
 
+def extreme_share(scored: DataFrame, limit: float = 1e3, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_scored, extreme_share): scores so large that they tell of a degenerate neighbourhood."""
+    return scored.filter("score IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n_scored"), F.avg((F.col("score") > limit).cast("double")).alias("extreme_share"))
+
+
 def strongest(table: DataFrame, k: int, by: Sequence[str] = ("sensor",)) -> DataFrame:
     """The k rows of the largest |score| of each group; ties by station, time and method."""
     w = Window.partitionBy(*by).orderBy(F.abs("score").desc(), "station", "timestamp", "method")

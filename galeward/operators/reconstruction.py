@@ -21,6 +21,7 @@ LATENT_GRID, SEEDS = (2, 4, 8, 16), (0, 1, 2, 3, 4)
 TRAIN_SHARE, THRESHOLD_SHARE, THRESHOLD_GRID = 0.8, 0.99, (0.90, 0.95, 0.99)
 MAX_EPOCHS, BATCH, RATE, PATIENCE, LEAST_GAIN = 500, 256, 1e-3, 8, 1e-4
 METHODS = {"dense": "autoencoder", "lstm": "lstm_ae", "gru": "gru_ae"}
+RUN_KEYS = ("arch", "window", "bottleneck", "seed")
 RUN = "arch string, window int, bottleneck int, seed int"
 
 

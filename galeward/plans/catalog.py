@@ -15,6 +15,7 @@ from galeward.operators import density, grid
 from galeward.operators import detectors as D
 from galeward.operators import reconstruction as R
 from galeward.plans import stand_in as S
+from galeward.sources import runs_to_do
 
 #: Decision thresholds for a record of 30 days that is two thirds empty.
 LIMITS = V.Thresholds(min_span_days=14, pct_degraded=65.0, pct_absent=90.0, max_gap_days=7.0, min_season_days=10)
@@ -51,20 +52,15 @@ def grid_resample(spark, sf):
     return r6(S.wide(spark, sf), *grid.SENSORS)
 
 
-@query(f"WITH {S.FILLED} SELECT station, sensor, ts, round(value, 6) AS value FROM filled")
+@query(f"WITH {S.FILLED} SELECT station, sensor, ts, round(value + 1e-10, 6) AS value FROM filled")
 def gap_fill_limit(spark, sf):
-    return r6(S.filled(spark, sf), "value")
+    return S.round_value(S.filled(spark, sf))
 
 
-@query(f"""WITH {S.RAW}, w AS (SELECT *, sum((value IS NOT NULL)::INT) OVER (PARTITION BY station, sensor ORDER BY ts) AS g FROM long),
-gaps AS (SELECT station, sensor, g, count(*) - 1 AS missing FROM w GROUP BY 1, 2, 3),
-e AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN g END) OVER (PARTITION BY station, sensor) AS last_g FROM w),
-num AS (SELECT *, row_number() OVER (PARTITION BY station, sensor ORDER BY ts) AS i FROM e),
-kn AS (SELECT station, sensor, g, i, value, ts FROM num WHERE value IS NOT NULL)
-SELECT n.station, n.sensor, n.ts, round(CASE WHEN n.value IS NOT NULL THEN n.value WHEN gaps.missing <= {S.LIMIT} THEN p.value + (q.value - p.value) * (n.i - p.i) / (q.i - p.i) END, 6) AS value
-FROM num n JOIN gaps USING (station, sensor, g) LEFT JOIN kn p USING (station, sensor, g) LEFT JOIN kn q ON q.station = n.station AND q.sensor = n.sensor AND q.g = n.g + 1""")
+@query(f"""WITH {S.NEIGHBOURS} SELECT n.station, n.sensor, n.ts, round(CASE WHEN n.value IS NOT NULL THEN n.value WHEN n.ni - n.pi - 1 <= {S.LIMIT} THEN p.value + (q.value - p.value) * (n.i - n.pi) / (n.ni - n.pi) END + 1e-10, 6) AS value
+FROM nb n LEFT JOIN num p ON p.station = n.station AND p.sensor = n.sensor AND p.i = n.pi LEFT JOIN num q ON q.station = n.station AND q.sensor = n.sensor AND q.i = n.ni""")
 def gap_fill_whole(spark, sf):
-    return r6(grid.fill_gaps(grid.to_long(S.wide(spark, sf)), S.LIMIT, leave_long_gaps=True), "value")
+    return S.round_value(grid.fill_gaps(grid.to_long(S.wide(spark, sf)), S.LIMIT, leave_long_gaps=True))
 
 
 _COVER = f"""{S.RAW}, gp AS (SELECT *, CASE WHEN epoch(ts - lag(ts) OVER (PARTITION BY station, sensor ORDER BY ts)) > 600 THEN epoch(ts - lag(ts) OVER (PARTITION BY station, sensor ORDER BY ts)) END AS gap FROM readings),
@@ -219,9 +215,9 @@ def rolling_z(spark, sf):
     return r6(D.rolling_z(S.filled(spark, sf)).drop("value"), "score")
 
 
-@query(f"WITH {S.FILLED}, {S.MZ} SELECT station, sensor, ts, round(score, 9) AS score FROM mz")
+@query(f"WITH {S.FILLED}, {S.MZ} SELECT station, sensor, ts, round(score + 1e-12, 9) AS score FROM mz")
 def rolling_modified_z(spark, sf):
-    return D.rolling_modified_z(S.filled(spark, sf)).drop("value").withColumn("score", F.round("score", 9) + F.lit(0.0))
+    return D.rolling_modified_z(S.filled(spark, sf)).drop("value").withColumn("score", F.round(F.col("score") + F.lit(1e-12), 9) + F.lit(0.0))
 
 
 @query(f"WITH {S.FILLED}, {S.HZ} SELECT station, sensor, ts, round(score, 6) AS score FROM hz")
@@ -229,9 +225,7 @@ def hour_z(spark, sf):
     return r6(D.hour_z(S.filled(spark, sf).filter("sensor = 'luminous_intensity'")).drop("value"), "score")
 
 
-_FEATURES = f"""{S.FILLED}, wf AS (SELECT *, count(value) OVER f = 6 AS whole, avg(value) OVER f AS m, stddev_samp(value) OVER f AS sd, regr_slope(value, i) OVER f * 6 AS sl FROM filled WINDOW f AS (PARTITION BY station, sensor ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)),
-feat AS (SELECT station, sensor, ts, round(value, 6) AS value, round(CASE WHEN whole THEN m END, 6) AS window_mean, round(CASE WHEN whole THEN sd END, 6) AS window_std, round(CASE WHEN whole THEN sl END, 6) AS window_slope FROM wf),
-full_ AS (SELECT * FROM feat WHERE value IS NOT NULL AND window_mean IS NOT NULL)"""
+_FEATURES = f"{S.FILLED}, {S.features_sql()}"
 
 
 @query(f"WITH {_FEATURES} SELECT * FROM feat")
@@ -240,7 +234,7 @@ def window_features(spark, sf):
 
 
 def _features(spark, sf):
-    return r6(D.window_features(S.filled(spark, sf)), *D.FEATURES)
+    return S.features(S.filled(spark, sf))
 
 
 @query(f"""WITH {_FEATURES}, q AS (SELECT station, sensor, {', '.join(f"quantile_cont({c}, 0.25) AS {c}_1, quantile_cont({c}, 0.5) AS {c}_2, quantile_cont({c}, 0.75) AS {c}_3" for c in D.FEATURES)} FROM full_ GROUP BY 1, 2)
@@ -286,9 +280,19 @@ def isolation_forest(spark, sf):
     return D.detections(density.iforest(_features(spark, sf)), "isolation_forest")
 
 
-def _fits(spark, sf, arch):
-    """A fit ends when it stops to improve, after MAX_EPOCHS at the latest."""
-    return R.fit_scores(S.filled(spark, sf), R.plan(spark, [arch]))
+def _fits(spark, sf, arch, passes=False):
+    """The stored fits of an architecture, the primary run of every cell or the whole plan of passes. A fit ends when it stops to
+    improve, after MAX_EPOCHS at the latest."""
+    primary = S.stored(spark, sf, f"fits_{arch}", lambda: R.fit_scores(S.filled(spark, sf), R.plan(spark, [arch])))
+    if not passes:
+        return primary
+    more = lambda: R.fit_scores(S.filled(spark, sf), runs_to_do(R.study(spark, [arch]), primary, R.RUN_KEYS))
+    return primary.unionByName(S.stored(spark, sf, f"passes_{arch}", more))
+
+
+def _variants(spark, sf, keep, name):
+    fits = _fits(spark, sf, "dense", passes=True).filter(keep)
+    return R.reconstruction_detections(fits, name=F.concat(F.lit(f"{name}_"), F.col(name).cast("string")))
 
 
 @query()
@@ -306,23 +310,24 @@ def gru_ae(spark, sf):
     return R.reconstruction_detections(_fits(spark, sf, "gru"))
 
 
+_PRIMARY_WINDOW, _PRIMARY_LATENT = f"`window` = {R.WINDOW}", f"bottleneck = {R.LATENT}"
+
+
 @query()
 def seed_stability(spark, sf):
     """How far a dense autoencoder's flags depend on its seed."""
-    fits = R.fit_scores(S.filled(spark, sf), R.plan(spark, ["dense"], seeds=(0, 1, 2)), epochs=40)
-    return A.self_agreement(R.reconstruction_detections(fits, name=F.concat(F.lit("seed_"), F.col("seed").cast("string"))))
+    return A.self_agreement(_variants(spark, sf, f"{_PRIMARY_WINDOW} AND {_PRIMARY_LATENT}", "seed"))
 
 
 @query()
 def bottleneck_ablation(spark, sf):
-    fits = R.fit_scores(S.filled(spark, sf), R.plan(spark, ["dense"], latents=(2, 8)), epochs=40)
-    return A.jaccard(A.pair_counts(A.align(R.reconstruction_detections(fits, name=F.concat(F.lit("latent_"), F.col("bottleneck").cast("string"))))))
+    return A.jaccard(A.pair_counts(A.align(_variants(spark, sf, f"{_PRIMARY_WINDOW} AND seed = 0", "bottleneck"))))
 
 
 @query()
 def window_control(spark, sf):
-    fits = R.fit_scores(S.filled(spark, sf), R.plan(spark, ["dense"], [R.WINDOW, R.CONTROL_WINDOW]), epochs=40)
-    return A.jaccard(A.pair_counts(A.align(R.reconstruction_detections(fits, name=F.concat(F.lit("window_"), F.col("window").cast("string"))))))
+    keep = f"seed = 0 AND ({_PRIMARY_LATENT} AND {_PRIMARY_WINDOW} OR `window` = {R.CONTROL_WINDOW})"
+    return A.jaccard(A.pair_counts(A.align(_variants(spark, sf, keep, "window"))))
 
 
 @query()
@@ -418,7 +423,7 @@ def percentile_context(spark, sf):
 
 
 def _values(spark, sf):
-    return r6(S.filled(spark, sf), "value")
+    return S.round_value(S.filled(spark, sf))
 
 
 _FIGURES = """count(*) AS n_flags, round(avg(g::INT), 6) AS share_global_extreme, round(avg(h::INT), 6) AS share_hour_extreme, round(avg((NOT g AND h)::INT), 6) AS share_contextual_only, round(avg((NOT g AND NOT h)::INT), 6) AS share_neither,
@@ -466,44 +471,28 @@ def station_heterogeneity(spark, sf):
     return r6(X.station_heterogeneity(pairs, m, grid.missing_share(S.filled(spark, sf))), "mean_jaccard", "max_jaccard", "pct_missing_after_fill")
 
 
-def _with_density(spark, sf):
-    """The statistical methods and LOF together."""
-    return S.found(spark, sf).unionByName(D.detections(density.lof(D.window_features(S.filled(spark, sf))), "lof"))
-
-
-@query()
-def family_agreement(spark, sf):
-    return X.family_agreement(A.jaccard(A.pair_counts(A.matched_budget(A.align(_with_density(spark, sf))))))
-
+def all_detections(spark, sf):
+    """The shared table of all seven methods and the contextual one, stored once."""
+    def made():
+        x = D.window_features(S.filled(spark, sf))
+        out = S.found(spark, sf).unionByName(D.detections(density.lof(x), "lof")).unionByName(D.detections(density.iforest(x), "isolation_forest"))
+        for arch in R.METHODS:
+            out = out.unionByName(R.reconstruction_detections(_fits(spark, sf, arch)))
+        return out
 
-@query()
-def cross_family_by_method(spark, sf):
-    return X.cross_family_by_method(A.jaccard(A.pair_counts(A.matched_budget(A.align(_with_density(spark, sf))))))
+    return S.stored(spark, sf, "all_detections", made)
 
 
 @query()
-def window_effect(spark, sf):
-    f = S.filled(spark, sf)
-    long = D.detections(density.lof(D.window_features(f, 36)), "lof_6h", D.THRESHOLDS["lof"])
-    pairs = A.jaccard(A.pair_counts(A.matched_budget(A.align(_with_density(spark, sf).unionByName(long)))))
-    return A.window_effect(pairs, "lof", "lof_6h", ["z_score", "modified_z_score"])
+def full_roster_family_agreement(spark, sf):
+    """Over all seven methods, models included."""
+    return X.family_agreement(A.jaccard(A.pair_counts(A.matched_budget(A.align(all_detections(spark, sf))))))
 
 
-@query()
-def case_studies(spark, sf):
-    m, f = S.matched(spark, sf), S.filled(spark, sf)
-    by = ("station", "sensor", "method")
-    light = X.flag_runs(X.pattern(m, "luminous_intensity", [X.CONTEXTUAL], "context_only"), by)
-    found = X.longest_case(light, "contextual_only_lux", 1).unionByName(X.longest_case(X.flag_runs(X.pattern(m, "precipitation", ["modified_z_score"], "mz_only"), by), "modified_only_precipitation", 1))
-    return X.case_studies(found, m, f, grid.to_long(S.wide(spark, sf)))
-
-
-@query()
-def taxonomy_verdicts(spark, sf):
-    m = S.matched(spark, sf)
-    runs = X.run_length_summary(X.flag_runs(m))
-    profile = X.contextual_profile(m, X.percentile_context(m, _values(spark, sf)))
-    return X.point_verdict(runs, other="modified_z_score").unionByName(X.collective_verdict(runs, "modified_z_score")).unionByName(X.contextual_verdict(profile))
+@query(f"WITH {S.FILLED}, {S.features_sql()} SELECT count(*) AS n_scored, round(avg((window_std > 1)::INT), 6) AS extreme_share FROM full_")
+def extreme_scores(spark, sf):
+    """The share of scores beyond a limit, over the windows' deviations."""
+    return r6(D.extreme_share(_features(spark, sf).dropna(subset=list(D.FEATURES)).withColumn("score", F.col("window_std")), 1.0), "extreme_share")
 
 
 def queries() -> dict:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeward.functions import clean
 
 SENSORS = ("pressure", "precipitation", "luminous_intensity")
-#: NN_sensor_station.csv
+# Fixed value: names of raw files, NN_sensor_station.csv.
 FILE_NAME = r"^([0-9]{2})_(pressure|precipitation|luminous_intensity)_(.+)\.csv$"
 DETECTION = "station string, sensor string, timestamp timestamp_ntz, method string, flagged boolean, score double"
 
@@ -60,8 +60,3 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def runs_to_do(planned: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Planned runs that have no fit yet, so an interrupted study goes on where it stopped."""
     return planned.join(done.select(*keys), list(keys), "left_anti")
-
-
-def latest_per_key(rows: DataFrame, keys: Sequence[str], order: str, k: int = 1) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")

@@ -15,9 +15,13 @@ def test_queries_train_until_patience_ends_a_fit(spark, monkeypatch, name):
         seen.append(epochs)
         return spark.createDataFrame([("a", "p", "dense", 36, 8, 0, 1, 0.5, k % 2 == 0, 499, 0.1) for k in range(4)], "station string, sensor string, arch string, window int, bottleneck int, seed int, ts long, score double, is_train boolean, epochs int, best_val_loss double")
 
+    catalog.S.forget()
     monkeypatch.setattr(catalog.S, "filled", lambda *a: None)
     monkeypatch.setattr(R, "fit_scores", scores)
     got = catalog.QUERIES[name](spark, "")
+    health = got.limit(1).cache() if name == "fit_health" else None
+    assert health is None or health.count()
     assert seen == [500] and R.PATIENCE == 8
+    catalog.S.forget()
     if name == "fit_health":
-        assert got.first().ended_early  # 499 of 500, not of 40
+        assert health.first().ended_early  # 499 of 500, not of 40
