@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where scratch tables go when a local session names no shared folder (single-machine tests only).
-LOCAL_SCRATCH = "/tmp/checkpoints/galeward"
+from galeward.sources.scratch import LOCAL_SCRATCH, cut, release, scratch_root  # noqa: F401
+
 #: The white space of every contract, as the inside of a regular-expression class.
 BLANKS = r"\x20\x09-\x0D"
 #: A key is hot when it holds over 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
@@ -22,41 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where that is unset, a local one if driver and executors are one
-    process, and an error elsewhere: executors could not read one another's tables."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or LOCAL_SCRATCH).rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def cut(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, so a lost
-    executor costs the rerun of a read, and values made by the write (row ids, samples) stay fixed.
-    An application's tables are one folder, which goes when the application ends."""
-    spark = df.sparkSession
-    home = f"{scratch_root(spark)}/gw-{spark.sparkContext.applicationId}"
-    path = f"{home}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    fs, at = _file_system(spark, home)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table of cut() that nothing will read again."""
-    fs, at = _file_system(df.sparkSession, df._scratch)
-    fs.delete(at, True)
-
-
 def give_back() -> None:
     """Return freed memory to the system: Python workers wait for their next task with what they once held."""
     import ctypes
