@@ -1,8 +1,8 @@
 """Near-duplicate lines by a segment-partition edit join, with DataFrame functions alone.
 
-A line is what lies between two newlines, without white space at its ends; blank ones are none. Lines of
-at least MIN_CHARS code points are linked when at most TAU edits apart, shorter ones only when equal;
-classes are the components of the links. The first line of a class (by doc_id, row, place) stays.
+A line is what lies between two newlines, without white space at its ends; blank ones are none. Lines are linked when
+at most TAU edits apart and at most one edit for each CHARS code points of the longer one, so lines under CHARS are linked
+only when equal; classes are the components of the links. The first line of a class (by doc_id, row, place) stays.
 
 Search: a line of length l is cut into TAU + 1 segments, one of which survives TAU edits whole. Every
 distinct line indexes its segments by (l, number, text) and looks up, for each length from its own
@@ -11,20 +11,31 @@ aware range of places). Pairs whose counts of common letters differ too much for
 dropped within the join; the rest are verified by a bit-parallel run along the band of 2 * TAU + 1
 diagonals, a bit for each diagonal and a word for each number of edits.
 
+Crowds: keys that over CROWD lines index are never joined with themselves. One of their lines, the pivot, is
+compared with all that look the key up; those linked with it are linked among each other through it, so
+only pairs with an unlinked line are left. They are searched again under longer keys: TAU edits change the counts of
+letters by 2 * TAU in all, so of 2 * TAU + s groups of letters s are left alike, and the counts of every s
+groups are a key (s = 2, then s = 4 where crowds remain). No link between classes is lost, and copies with an edit each
+cost one comparison each, not one for each pair.
+
 Cases: null text has no lines; a null doc_id comes last among doc_ids; repeated rows are documents of their
 own, so all but the first row's lines go; ties in doc_id go by row as read; very long lines are lines
-like any other; no rows in, no rows out; other columns are not read by the report and kept by the filter.
+like any other, compared over their whole length; no rows in, no rows out; other columns are not read by the report and kept by the filter.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import attach, components, cut, fresh, read, text_of
 
-TAU = 2
-MIN_CHARS = 20
+TAU, CHARS = 2, 10
+#: Lines that may index a key before it is split, and 1 of how many lines is looked at to find such keys. Keys that are
+#: not noticed are joined whole: the figures decide on the plan, never on the links.
+CROWD, GLANCE = 1000, 64
 #: Lines whose texts are fetched for verification by broadcast at most (8 bytes each); beyond, by shuffle.
 BROADCAST_IDS = 1_000_000
 # Letters that are counted, 4 bits each.
@@ -118,18 +129,79 @@ def named(lines: DataFrame) -> DataFrame:
     return cut(lines.select("line", F.length("line").alias("n"), _letters(F.col("line")).alias("sig")).withColumn("id", F.monotonically_increasing_id()), "dlines")
 
 
-def line_links(lines: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
-    """Verified pairs (u, v) of line ids. lines: id (long), line (distinct, all of at least `least`)."""
-    d = lines.filter(F.col("n") >= least)
-    held = d.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    asked = d.select(F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"), F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    near = F.expr(f"key = key2 AND a <> b AND na <= nb AND (na < nb OR a < b) AND {_letters_apart('sa', 'sb')} <= {2 * tau}")
-    pairs = cut(held.join(asked.withColumnRenamed("key", "key2"), near).select("a", "b").distinct(), "pairs")
+def _split_keys(key: Column, role: int, split: tuple[int, int]) -> Column:
+    """Keys of a crowd's line: its old one and the counts of some groups of letters."""
+    groups, some = split
+    masks = [sum(15 << 4 * k for k in range(len(LETTERS)) if k % groups in chosen) for chosen in combinations(range(groups), some)]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    return F.array(*[F.xxhash64(key, F.lit(role), F.lit(i), F.col("sig").bitwiseAND(signed(m))) for i, m in enumerate(masks)])
+
+
+def _near(tau: int) -> Column:
+    return F.expr(f"a <> b AND na <= nb AND {_letters_apart('sa', 'sb')} <= {2 * tau}")
+
+
+def _sides(held: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return held.select("key", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), asked.select("key", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
+
+
+def _verified(lines: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
+    """The pairs (a, b) of lines that are near, b the longer one, as (u, v)."""
+    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = cut(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "line"), "ltext")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return both.filter(within(F.col("x"), F.col("y"), tau)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    n = F.length("y")
+    near = F.when(n >= CHARS * tau, within(F.col("x"), F.col("y"), tau))
+    for e in range(tau - 1, 0, -1):
+        near = near.when(n >= CHARS * e, within(F.col("x"), F.col("y"), e))
+    return both.filter(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _parted(rows: DataFrame, keys: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    """rows whose key is among keys, and the others."""
+    k = F.broadcast(keys) if few else keys
+    return rows.join(k, "key", "left_semi"), rows.join(k, "key", "left_anti")
+
+
+def line_links(lines: DataFrame, tau: int = TAU, crowd: int = CROWD) -> DataFrame:
+    """Links (u, v) of line ids whose components are those of all near pairs. lines: as named() makes them."""
+    d = lines.filter(F.col("n") >= CHARS)
+    held = d.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), "id", "n", "sig")
+    asked = d.select(F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"), "id", "n", "sig")
+    glance = held.filter(F.pmod(F.xxhash64("id"), F.lit(GLANCE)) == 0)
+    crowds = glance.groupBy("key").count().filter(F.col("count") > max(crowd // GLANCE // 2, 0)) if crowd >= GLANCE else held.groupBy("key").count().filter(F.col("count") > crowd)
+    links, last = None, (2 * tau + 4, 4)
+    for split in ((2 * tau + 2, 2), last, None):
+        crowds = cut(crowds.select("key"), "crowds") if split else None
+        n = crowds.count() if split else 0
+        some = _sides(held, asked)
+        if n:
+            few = n <= BROADCAST_IDS
+            held, calm_held = _parted(held, crowds, few)
+            asked, calm_asked = _parted(asked, crowds, few)
+            some = _sides(calm_held, calm_asked)
+        pairs = some[0].join(some[1], "key").filter(_near(tau) & F.expr("na < nb OR a < b"))
+        links = _verified(lines, pairs, tau) if links is None else links.unionByName(_verified(lines, pairs, tau))
+        if not n:
+            break
+        held, asked = cut(held, "held"), cut(asked, "asked")
+        pivots = cut(held.groupBy("key").agg(F.min(F.struct("id", "n", "sig")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.sig").alias("sa")), "pivots")
+        with_pivot = asked.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).join(F.broadcast(pivots) if few else pivots, "key")
+        stars = cut(_verified(lines, with_pivot.filter(_near(tau)), tau), "stars")
+        links = links.unionByName(stars)
+        tied = with_pivot.join(stars, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left_semi").select("key", F.col("b").alias("id"))
+        tied = cut(tied.unionByName(pivots.select("key", F.col("a").alias("id"))).distinct(), "tied")
+        loose_held, loose_asked = cut(held.join(tied, ["key", "id"], "left_anti"), "loose"), cut(asked.join(tied, ["key", "id"], "left_anti"), "loose")
+        again = lambda rows, role, others: rows.join(others.select("key").distinct(), "key", "left_semi").select(F.explode(_split_keys(F.col("key"), role, split)).alias("key"), "id", "n", "sig")
+        # what is left to compare: loose lines of the index with all, tied ones with loose ones
+        tied_held = held.join(tied, ["key", "id"], "left_semi")
+        held, asked = again(loose_held, 0, loose_held).unionByName(again(tied_held, 1, loose_asked)), again(asked, 0, loose_held).unionByName(again(loose_asked, 1, loose_asked))
+        if split != last:
+            held, asked = cut(held, "held"), cut(asked, "asked")
+            crowds = held.groupBy("key").count().filter(F.col("count") > crowd)
+    return links
 
 
 def _occurrences(docs: DataFrame, row: str | None) -> DataFrame:
@@ -141,18 +213,18 @@ def _occurrences(docs: DataFrame, row: str | None) -> DataFrame:
     return cut(named.filter("h IS NOT NULL OR pos = 0").withColumn("pos", F.when(F.col("h").isNotNull(), F.col("pos"))), "lines")
 
 
-def judged_lines(docs: DataFrame, row: str | None = None, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def judged_lines(docs: DataFrame, row: str | None = None, tau: int = TAU) -> DataFrame:
     """(row, doc_id, pos, near, removed): a row for each line; near: it has a linked line of another text."""
     seen = _occurrences(docs, row)
     total = seen.count()
-    texts = _exploded(docs).select("line").filter(F.length("line") >= least).distinct()
+    texts = _exploded(docs).select("line").filter(F.length("line") >= CHARS).distinct()
     lines = named(texts)
-    classes = components(line_links(lines, tau, least))
+    classes = components(line_links(lines, tau))
     keyed = lines.select("id", _key(F.col("line")).alias("h"))
     few = classes.count() <= BROADCAST_IDS
     member = keyed.join(F.broadcast(classes) if few else classes, keyed["id"] == classes["node"]).select("h", "component")
-    heads = member.groupBy("component").agg(F.min("h").alias("class"))
-    member = member.join(heads, "component").select("h", "class")
+    heads = member.groupBy("component").agg(F.min("h").alias("class"), F.count("*").alias("lines"))
+    member = attach(member, heads, "component", "lines", classes.count()).select("h", "class")
     counted = seen.filter("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "pos")).alias("first"))
     counted = cut(counted.join(member, "h", "left").withColumn("near", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "h")), "cls")
     firsts = counted.groupBy("class").agg(F.min("first").alias("head"), F.count("*").alias("_n"))
@@ -172,16 +244,16 @@ def _by_document(judged: DataFrame) -> DataFrame:
     )
 
 
-def line_report(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """doc_id, n_lines, n_near, n_removed, removed (places of the lines that go, comma-joined, from 0)."""
-    return _by_document(judged_lines(docs, None, tau, least)).select("doc_id", "n_lines", "n_near", "n_removed", F.array_join("places", ",").alias("removed"))
+    return _by_document(judged_lines(docs, None, tau)).select("doc_id", "n_lines", "n_near", "n_removed", F.array_join("places", ",").alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """docs with the lines that go taken out of the texts; all columns are kept."""
     row, gone = fresh(docs, "_gw_row"), fresh(docs, "_gw_gone")
     marked = cut(docs.withColumn(row, F.monotonically_increasing_id()), "ldocs")
-    found = _by_document(judged_lines(marked, row, tau, least)).select(F.col("row").alias(row), F.col("places").alias(gone))
+    found = _by_document(judged_lines(marked, row, tau)).select(F.col("row").alias(row), F.col("places").alias(gone))
     joined = marked.join(found, row)
     kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
     return joined.withColumn("text", F.array_join(kept, "\n")).select(*docs.columns)

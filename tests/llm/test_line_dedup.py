@@ -45,15 +45,83 @@ def test_band_equals_the_full_table(spark, tau):
 @pytest.mark.parametrize("tau", [1, 2])
 def test_no_link_is_lost(spark, tau):
     rng = random.Random(7 + tau)
-    lines = [x for x in some_lines(rng, 40) if len(x) >= 20]
+    lines = some_lines(rng, 40)
+    lines = sorted({x[:k] for x in lines for k in (9, 14, 40)})
     df = D.named(spark.createDataFrame([(x,) for x in lines], "line string"))
     place = {r.id: lines.index(r.line) for r in df.collect()}
-    got = {frozenset(place[i] for i in r) for r in D.line_links(df, tau, 20).collect()}
-    want = {frozenset((i, j)) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau}
-    assert got == want and want
+    got = {frozenset(place[i] for i in r) for r in D.line_links(df, tau).collect()}
+    want = {frozenset((i, j)) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and near(a, b, tau)}
+    assert got == want and any(len(lines[i]) < 20 for p in want for i in p) and any(len(lines[i]) > 20 for p in want for i in p)
+
+
+def near(a, b, tau):
+    most = min(tau, max(len(a), len(b)) // D.CHARS)
+    return a == b or abs(len(a) - len(b)) <= most and edits(a, b) <= most
+
+
+def classes(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        x, y = sorted((find(i), find(j)))
+        root[y] = x
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("crowd", [1, 4, 30])
+def test_crowds_keep_their_classes(spark, crowd):
+    """Copies of one and two edits, lines that share a segment and no more, and several such groups under one segment."""
+    rng = random.Random(crowd)
+    start = "a common beginning: "
+    lines = set()
+    for stem in ("the quick brown fox jumps over it", "les sanglots longs des violons dd", "zzzz qqqq xxxx jjjj kkkk vvvv wwww"):
+        for _ in range(60):
+            t = list(start + stem)
+            for _ in range(rng.choice([1, 1, 2, 4])):
+                t[rng.randrange(len(t))] = rng.choice("abcxyz")
+            lines.add("".join(t))
+    lines |= {start + "".join(rng.choice("etaoinshrdlu ") for _ in range(33)) + "." for _ in range(60)}
+    lines = sorted(lines)
+    df = D.named(spark.createDataFrame([(x,) for x in lines], "line string"))
+    place = {r.id: lines.index(r.line) for r in df.collect()}
+    found = [(place[r.u], place[r.v]) for r in D.line_links(df, 2, crowd).collect()]
+    assert all(near(lines[i], lines[j], 2) for i, j in found)
+    want = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and near(a, b, 2)]
+    assert classes(len(lines), found) == classes(len(lines), want)
+
+
+def test_links_of_copies_with_an_edit_each_grow_with_their_number(spark):
+    stem = "it was the best of times, it was the worst of times, it was the age of wisdom, it was the age of foolishness"
+    rng, counts = random.Random(2), []
+    for n in (600, 2400):
+        lines = set()
+        while len(lines) < n:
+            k = rng.randrange(len(stem))
+            lines.add(stem[:k] + chr(rng.randrange(0x3B1, 0x430)) + stem[k + 1 :])
+        df = D.named(spark.createDataFrame([(x,) for x in sorted(lines)], "line string"))
+        links = D.line_links(df, 2, 100).collect()
+        place = {r.id: k for k, r in enumerate(df.collect())}
+        assert len(set(classes(n, [(place[r.u], place[r.v]) for r in links]))) == 1
+        counts.append(len(links))
+    assert counts[1] < 6 * counts[0] and counts[1] < 20 * 2400
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(60_000)) + "x"
+    lines = [long, long[:30_000] + "Z" + long[30_001:], long[:100] + long[101:59_000] + "Q" + long[59_000:], long[:5] + "123" + long[5:], "x" * 40_000, "x" * 40_002, "x" * 40_003 + "y"]
+    df = D.named(spark.createDataFrame([(x,) for x in lines], "line string"))
+    place = {r.id: lines.index(r.line) for r in df.collect()}
+    got = {frozenset((place[r.u], place[r.v])) for r in D.line_links(df).collect()}
+    assert got == {frozenset(x) for x in ((0, 1), (0, 2), (4, 5), (5, 6))}
 
 
-def plain(rows, tau, least):
+def plain(rows, tau):
     """Removed places by (row), by force."""
     seen = [(i is None, i or 0, r, p, x.strip(WS)) for r, (i, t, *_) in enumerate(rows) for p, x in enumerate((t or "").split("\n")) if x.strip(WS)]
     texts = sorted({s[-1] for s in seen})
@@ -66,7 +134,7 @@ def plain(rows, tau, least):
 
     for a in texts:
         for b in texts:
-            if a < b and len(a) >= least and len(b) >= least and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau:
+            if a < b and near(a, b, tau):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     first, gone = {}, Counter()
@@ -83,7 +151,7 @@ def test_report_and_filter(spark):
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 7))), "p") for i in range(40)]
     rows += [(None, pool[0], "p"), (50, None, "p"), (51, "", "p"), (52, "\n \n", "p"), (3, rows[3][1], "p"), (53, "long " * 5000 + "\n" + "long " * 5000, "p")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, places string").coalesce(1)
-    want, gone = plain(rows, D.TAU, D.MIN_CHARS)
+    want, gone = plain(rows, D.TAU)
     got = D.line_report(docs).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     assert sorted(((r.doc_id, r.n_lines, r.n_removed) for r in got), key=key) == sorted(want, key=key)
