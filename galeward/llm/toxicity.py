@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; the texts of all learning rows, their labels withheld, are
-the unlabelled part; the class prior is the share of toxic rows among the learning rows. A linear
+Confirmed toxic documents are the positives; the texts of all learning rows, their labels withheld, and of documents
+that nobody has labelled are the unlabelled part; the class prior is the share of toxic rows among the learning rows. A linear
 classifier over hashed words minimises the non-negative risk
     prior * E_pos[l(+)] + max(0, E_unl[l(-)] - prior * E_pos[l(-)])
 with logistic l: where the bracket turns negative the step ascends it instead, which keeps the model
@@ -9,8 +9,8 @@ from calling all positives' words toxic by heart. Words enter once for a text, w
 term leaves weight only on words that set the positives apart.
 
 Learning rows: rows of `labels` whose crc32(doc_id as text) mod FOLDS is not 0, at most SAMPLE of them
-(those of the smallest hash of doc_id), a documented bound on what is fitted; every document is scored on
-its whole text. Labels, language, source and id are no inputs of a score.
+(those of the smallest hash of doc_id), and as many documents without a label that are not held out either, a documented
+bound on what is fitted; every document is scored on its whole text. Labels, language, source and id are no inputs of a score.
 
 Cases: null and empty texts get the model's score of no words; without toxic learning rows the
 score of every text is the prior; a null doc_id is not held out; repeated rows get equal scores; repeated
@@ -35,7 +35,7 @@ SAMPLE = 16_384
 BUCKETS = 1 << 20
 #: Words that fewer learning texts hold get no weight.
 LEAST_TEXTS = 5
-EPOCHS = 300
+EPOCHS = 500
 RATE = 0.05
 L1 = 1e-4
 REMEMBERED = 300_000
@@ -74,6 +74,17 @@ class Linear:
         return score
 
 
+def descent(g: np.ndarray, pos: np.ndarray, prior: float) -> np.ndarray:
+    """The direction, by row, from which a step on the scores g is taken: the gradient of the non-negative risk, or
+    where its bracket is negative that of the bracket itself, uphill."""
+    s, n, n_pos = 1.0 / (1.0 + np.exp(-np.clip(g, -30, 30))), len(g), int(pos.sum())
+    soft = np.logaddexp(0, g)
+    bracket = s / n - np.where(pos, s, 0.0) * (prior / n_pos)
+    if soft.mean() - prior * soft[pos].mean() < 0:
+        return -bracket
+    return np.where(pos, (s - 1.0) * (prior / n_pos), 0.0) + bracket
+
+
 def learn(flat: np.ndarray, size: np.ndarray, toxic: np.ndarray, prior: float) -> Linear:
     """Minimise the non-negative risk by proximal Adam over all rows at each step. flat: the rows'
     buckets end to end; size: their numbers."""
@@ -87,21 +98,11 @@ def learn(flat: np.ndarray, size: np.ndarray, toxic: np.ndarray, prior: float) -
     row, col = np.repeat(np.arange(len(size), dtype=np.int32), size), place[flat]
     row, col = row[col >= 0], col[col >= 0]
     pos = toxic.astype(bool)
-    n_pos, n = int(pos.sum()), len(size)
+    n = len(size)
     w, b = np.zeros(len(kept)), base
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
-    sigmoid = lambda g: 1.0 / (1.0 + np.exp(-np.clip(g, -30, 30)))
     for t in range(1, EPOCHS + 1):
-        g = b + np.bincount(row, w[col], n)
-        s = sigmoid(g)
-        soft = np.logaddexp(0, g)
-        negative = soft.mean() - prior * soft[pos].mean()
-        d_unl = s / n
-        d_pos = np.where(pos, s, 0.0) * (prior / n_pos)
-        if negative < 0:
-            d = -(d_unl - d_pos)
-        else:
-            d = np.where(pos, (s - 1.0) * (prior / n_pos), 0.0) + d_unl - d_pos
+        d = descent(b + np.bincount(row, w[col], n), pos, prior)
         gw, gb = np.bincount(col, d[row], len(kept)), float(d.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -118,18 +119,22 @@ def fold(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
-    """The classifier of the learning rows; at most `sample` of them, as bucket numbers, reach the driver."""
+    """The classifier of the learning rows and of as many documents without a label; at most `sample` of each, as bucket
+    numbers, reach the driver."""
     d = F.col("doc_id").cast("long")
     rows = labels.select(d.alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter((fold(F.col("_id")) != 0) & F.col("_toxic").isNotNull())
     rows = rows.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     prior = rows.agg(F.avg("_toxic")).first()[0] or 0.0
-    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    least = lambda df: df.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    named = labels.select(d.alias("_id")).distinct()
+    others = docs.select(d.alias("_id")).filter(fold(F.col("_id")) != 0).distinct().join(named, "_id", "left_anti")
+    chosen = least(rows).unionByName(least(others).withColumn("_toxic", F.lit(0)))
 
     @F.pandas_udf("array<long>")
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(buckets_of)
 
-    texts = docs.select(d.alias("_d"), text_of().alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id"))  # `sample` rows at most
+    texts = docs.select(d.alias("_d"), text_of().alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id"))  # twice `sample` rows at most
     got = texts.select("_id", "_toxic", found("_t").alias("f")).toArrow()
     if not got.num_rows:
         return learn(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), float(prior))

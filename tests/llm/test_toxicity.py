@@ -33,6 +33,42 @@ def test_finds_the_positives_words_without_negatives():
     assert np.mean([(score(t) >= 0.5) == bool(x) for _, t, x in fresh]) > 0.97
 
 
+def test_steps_follow_the_non_negative_risk():
+    rng = np.random.default_rng(4)
+    soft = lambda z: float(np.log1p(np.exp(z)))
+    ways = set()
+    for shift in (-3.0, 0.0, 4.0):
+        pos = rng.random(30) < 0.3
+        g = rng.normal(0, 1, 30) + np.where(pos, shift, -shift / 2)
+        bracket = lambda z: sum(map(soft, z)) / 30 - 0.4 * sum(soft(x) for x in z[pos]) / pos.sum()
+        toward = lambda z: 0.4 * sum(soft(-x) for x in z[pos]) / pos.sum()
+        down = bracket(g) < 0
+        ways.add(down)
+        aim = (lambda z: -bracket(z)) if down else (lambda z: toward(z) + bracket(z))
+        want = [(aim(g + e) - aim(g - e)) / 2e-5 for e in np.eye(30) * 1e-5]
+        assert np.allclose(X.descent(g, pos, 0.4), want, atol=1e-6)
+    assert ways == {True, False}
+
+
+def test_a_score_of_one_half_is_predicted(spark):
+    docs = spark.createDataFrame([(1, "x", 9)], "doc_id long, text string, PREDICTED int")
+    half = X.Linear(0.0, np.zeros(0, np.int64), np.zeros(0))
+    assert docs.select(X.score_column(half, docs.text).alias("s")).first().s == 0.5
+    got = X.toxicity(docs, spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, toxic int"))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.first().predicted in (0, 1)
+
+
+def test_documents_without_a_label_are_learnt_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(X, "learn", lambda flat, size, toxic, prior: seen.append((len(size), int(toxic.sum()), prior)) or X.Linear(0.0, np.zeros(0, np.int64), np.zeros(0)))
+    free = [i for i in range(200) if crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < 10)) for k, i in enumerate(free[:40])], "doc_id long, toxic int")
+    X.train(docs, labels)
+    X.train(docs, labels, 15)
+    assert seen[0] == (len(free), 10, 0.25) and seen[1][0] == 30
+
+
 def test_no_positives_gives_the_prior():
     score = learnt([(i, t, 0) for i, t, _ in corpus(20)], 0.1).scorer()
     assert abs(score("anything") - 0.1) < 1e-9
