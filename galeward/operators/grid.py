@@ -18,7 +18,8 @@ GAP_LIMIT = 36
 
 def consolidate(readings: DataFrame, windows: DataFrame | None = None, sensors: Sequence[str] = SENSORS) -> DataFrame:
     """Long readings (station, sensor, ts, value) as one row for each station and time, all sensors outer-joined;
-    trimmed to windows (station, start, end), both ends in, where given. Raises where a station lacks a sensor."""
+    trimmed to windows (station, start, end), both ends in, where given. Raises where a station lacks a sensor, which
+    takes one job when the plan is made: at most one station's name reaches the driver."""
     if windows is not None:
         readings = readings.join(F.broadcast(windows), "station").filter(F.col("ts").between(F.col("start"), F.col("end"))).drop("start", "end")
     lacking = readings.groupBy("station").agg(F.collect_set("sensor").alias("s")).filter(F.size(F.array_except(F.array(*map(F.lit, sensors)), "s")) > 0).limit(1).collect()

@@ -20,21 +20,26 @@ def scratch_root(spark: SparkSession) -> str:
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def session_folder(spark: SparkSession) -> str:
+    """The folder of the application's tables, which goes when the application ends."""
+    home = f"{scratch_root(spark)}/gw-{spark.sparkContext.applicationId}"
+    fs, at = file_system(spark, home)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return home
+
+
 def cut(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, so a lost
-    executor costs the rerun of a read, and values made by the write (row ids, samples) stay fixed.
-    An application's tables are one folder, which goes when the application ends."""
+    executor costs the rerun of a read, and values made by the write (row ids, samples) stay fixed."""
     spark = df.sparkSession
-    home = f"{scratch_root(spark)}/gw-{spark.sparkContext.applicationId}"
-    path = f"{home}/{tag}-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    fs, at = _file_system(spark, home)
-    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -42,5 +47,5 @@ def cut(df: DataFrame, tag: str = "t") -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete a table of cut() that nothing will read again."""
-    fs, at = _file_system(df.sparkSession, df._scratch)
+    fs, at = file_system(df.sparkSession, df._scratch)
     fs.delete(at, True)

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from galeward.plans import stand_in
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["gap_fill_whole", "rolling_modified_z", "window_features", "family_agreement", "window_effect", "case_studies", "taxonomy_verdicts", "stored_fit_health", "stored_percentile_sensitivity", "lstm_vs_gru", "recurrence_comparison", "displacement_hierarchy", "pair_columns_round_trip", "family_vote_jaccard", "decision_counts"]
+NAMES = ["gap_fill_whole", "rolling_modified_z", "window_features", "family_agreement", "window_effect", "case_studies", "taxonomy_verdicts", "stored_fit_health", "stored_percentile_sensitivity", "lstm_vs_gru", "recurrence_comparison", "displacement_hierarchy", "pair_columns_round_trip", "family_vote_jaccard", "decision_counts", "raw_stations", "raw_consolidated"]
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="no tables here")
 
 
