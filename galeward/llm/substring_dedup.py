@@ -238,7 +238,7 @@ def _filter(keys: DataFrame):
         np.bitwise_or.at(out, table["at"].to_numpy(), table["bits"].to_numpy().astype(np.uint8))
         return pa.table({"block": [table["block"][0].as_py()], "bits": pa.array([out.tobytes()], pa.binary())}, schema=pa.schema([("block", pa.int32()), ("bits", pa.binary())]))
 
-    made = map_arrow(keys.select("key").coalesce(64), run, "block int, at int, bits int")
+    made = map_arrow(keys.select("key"), run, "block int, at int, bits int")
     rows = made.groupBy("block", "at").agg(F.bit_or("bits").alias("bits")).groupBy("block").applyInArrow(block, "block int, bits binary").collect()
     held = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:
