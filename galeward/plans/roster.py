@@ -76,8 +76,8 @@ WHERE a.method_a = '{m}' AND a.method_b IN ('z_score', 'modified_z_score')"""
 @query(f"""WITH {ROSTER}, {S.features_sql(LONG, 'long')}, wider AS (SELECT * FROM roster UNION ALL {_scores_sql(_LONG_SCORES, 'full_long')}), {S.matched_sql('wider')}, {S.pairs_sql()}, {_JAC}, {_BOTH}
 {_EFFECT.format(m='lof')} UNION ALL {_EFFECT.format(m='isolation_forest')}""")
 def window_effect(spark, sf):
-    wider = S.stored(spark, sf, "wider", lambda: A.matched_budget(A.align(roster(spark, sf).unionByName(_scored(S.features(S.filled(spark, sf), LONG), _LONG_SCORES)))))
-    pairs = A.jaccard(A.pair_counts(wider))
+    wider = lambda: A.matched_budget(A.align(roster(spark, sf).unionByName(_scored(S.features(S.filled(spark, sf), LONG), _LONG_SCORES))))
+    pairs = S.stored(spark, sf, "wider_pairs", lambda: A.jaccard(A.pair_counts(wider())))  # looked up six times
     t = A.window_effect(pairs, "lof", "lof_6h", ["z_score", "modified_z_score"]).unionByName(A.window_effect(pairs, "isolation_forest", "isolation_forest_6h", ["z_score", "modified_z_score"]))
     return r6(t, "jaccard_short", "jaccard_long", "change", "self_agreement")
 
