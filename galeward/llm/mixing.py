@@ -63,7 +63,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
     """sources (source, mass, docs) with weight and target. Weights go by place in code-point order, null last."""
     placed = running_offsets(sources.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")}), "_all", [F.col("source").asc_nulls_last()], "_one", "srank")
     weight = F.element_at(F.array(*map(F.lit, CYCLE)), (F.col("start") % len(CYCLE) + 1).cast("int"))
-    return cut(water_fill(cut(placed.withColumn("weight", weight).drop("start", "_all", "_one"), "weights")), "targets")
+    return water_fill(cut(placed.withColumn("weight", weight).drop("start", "_all", "_one"), "weights"))
 
 
 def _key(value: Column) -> Column:
@@ -79,8 +79,10 @@ def _newton(x: Column, mass: Column, goal: Column, steps: int = 60) -> Column:
 def solve(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, tolerance: float = 1e-12) -> dict[str, DataFrame]:
     """Multipliers as tables (key, x) by column. cells: the constraint columns and `mass`, tokens of each cell.
     goals: by column a table (value, goal); goals of 0 get no multiplier."""
-    cells = cut(cells.filter("mass > 0").select("mass", *[_key(F.col(c)).alias(c) for c in goals]), "cells")
-    found = {c: cut(t.filter("goal > 0").select(_key(F.col("value")).alias("key"), "goal", F.lit(0.0).alias("x")), "dual") for c, t in goals.items()}
+    cells = cells.filter("mass > 0").select("mass", *[_key(F.col(c)).alias(c) for c in goals])
+    found = {c: t.filter("goal > 0").select(_key(F.col("value")).alias("key"), "goal", F.lit(0.0).alias("x")) for c, t in goals.items()}
+    several = len(goals) > 1  # columns that act on each other take turns; one alone is settled by its own steps
+    cells = cut(cells, "cells") if several else cells
     for _ in range(rounds):
         far = 0.0
         for c in goals:
@@ -91,10 +93,11 @@ def solve(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, toler
                     mass = mass * F.exp(F.col(f"_{other}"))
             sums = rated.groupBy(F.col(c).alias("key")).agg(F.sum(mass).cast("double").alias("m"))
             moved = found[c].join(sums, "key").select("key", "goal", _newton(F.col("x"), F.col("m"), F.col("goal")).alias("x"), F.abs(F.col("m") * F.exp("x") / F.col("goal") - 1).alias("far"))
-            moved = cut(moved, "dual")
-            far = max(far, moved.agg(F.max("far")).first()[0] or 0.0)
+            if several:
+                moved = cut(moved, "dual")
+                far = max(far, moved.agg(F.max("far")).first()[0] or 0.0)
             found[c] = moved.drop("far")
-        if far < tolerance or len(goals) == 1:
+        if far < tolerance:
             break
     return {c: t.select("key", "x") for c, t in found.items()}
 
