@@ -99,11 +99,18 @@ def learn(flat: np.ndarray, size: np.ndarray, toxic: np.ndarray, prior: float) -
     row, col = row[col >= 0], col[col >= 0]
     pos = toxic.astype(bool)
     n = len(size)
+    # sums over a row's entries, and over a column's, are sums of neighbours in either order
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    filled, by_column = row[first], row[np.argsort(col, kind="stable")]
+    heads = np.cumsum(seen[kept]) - seen[kept]
     w, b = np.zeros(len(kept)), base
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
     for t in range(1, EPOCHS + 1):
-        d = descent(b + np.bincount(row, w[col], n), pos, prior)
-        gw, gb = np.bincount(col, d[row], len(kept)), float(d.sum())
+        g = np.full(n, b)
+        if len(row):
+            g[filled] += np.add.reduceat(w[col], first)
+        d = descent(g, pos, prior)
+        gw, gb = np.add.reduceat(d[by_column], heads) if len(kept) else w, float(d.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         scale = RATE / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
