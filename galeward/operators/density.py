@@ -64,7 +64,8 @@ def _grow(x: np.ndarray, height: int, rng) -> tuple[np.ndarray, np.ndarray, np.n
             depth[node] = level + float(_path(len(own)))
             continue
         f = int(rng.choice(wide))
-        feature[node], place[node], child[node] = f, rng.uniform(low[f], high[f]), len(feature)
+        # below the highest value even where rounding would reach it, so that neither part is empty
+        feature[node], place[node], child[node] = f, min(rng.uniform(low[f], high[f]), np.nextafter(high[f], low[f])), len(feature)
         above = own[:, f] > place[node]
         for part in (own[~above], own[above]):
             waiting.append((len(feature), part, level + 1))

@@ -161,6 +161,11 @@ def test_isolation_forest_finds_what_lies_apart():
     assert (s == density.isolation_forest(x, 100)).all()
 
 
+def test_isolation_forest_parts_values_that_are_neighbours():
+    x = np.array([[1.0], [np.nextafter(1.0, 2.0)]] * 40)
+    assert np.isfinite(density.isolation_forest(x, 50)).all() and np.isfinite(density.isolation_forest(np.ones((9, 4)), 5)).all()
+
+
 @pytest.mark.parametrize("arch", ["dense", "lstm", "gru"])
 def test_gradients(arch):
     rng = np.random.default_rng(2)
