@@ -50,9 +50,11 @@ def fill_gaps(grid: DataFrame, limit: int = GAP_LIMIT, leave_long_gaps: bool = F
     Of a gap the first `limit` bins are filled, or, with leave_long_gaps, all or none; a gap at either end of
     the record is never filled."""
     w = Window.partitionBy(*by).orderBy("ts")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # the next known value is the last one seen from the other end: a frame that runs to the end would be gone through anew for every row
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("value").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("value").alias("v")))
-    rows = grid.withColumn("_i", F.row_number().over(w)).withColumns({"_p": F.last(known, True).over(back), "_n": F.first(known, True).over(ahead)})
+    rows = grid.withColumn("_i", F.row_number().over(w)).withColumns({"_p": F.last(known, True).over(back), "_n": F.last(known, True).over(ahead)})
     width = F.col("_n.i") - F.col("_p.i")
     within = (width - 1 <= limit) if leave_long_gaps else (F.col("_i") - F.col("_p.i") <= limit)
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * F.try_divide(F.col("_i") - F.col("_p.i"), width)
