@@ -7,9 +7,11 @@ scored by their own entry are kept as arrays sorted by hash, log probabilities b
 together; every worker looks n-grams up there, longest first, with the back-off weights of the contexts above.
 
 Size: the arrays are broadcast, so they hold MODEL n-grams at most. Each language may have a part of that by the square root of its
-characters; the powers of two at which its n-grams' counts meet that part are counted, and n-grams that occur less
-often give their whole count to the free mass of their context: they are scored by back-off, and probabilities still
-sum to one. Nothing is left out of the counts; up to MODEL n-grams in the corpus, nothing is backed off.
+characters; the powers of two at which its n-grams' counts meet that part are counted. N-grams that occur less often
+are no less part of the model: Spark joins derive the probabilities of the rest in tables that grow with the corpus, and
+where a text has one, it is looked up there by a join and added to its block. So each n-gram of each text is scored by its own entry at any size
+(`train_whole`). `train` is the bounded form for texts the model has not seen: there the rest gives its
+whole count to the free mass of its contexts and is scored by back-off, and probabilities still sum to one.
 
 Bands: a document's figure is the median of the log perplexities of its blocks of BLOCK characters, so a passage in another
 language or a table does not speak for the whole. Every language has a lower and an upper band about the median of its
@@ -284,6 +286,11 @@ class Model:
         self.grams = Sorted(np.concatenate(keys), np.concatenate(logs).astype(np.float32))
         self.contexts = Sorted(weight.keys, np.log(np.maximum(weight.values, 1e-12)).astype(np.float32))
 
+    def own(self, salt: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the 4-grams are kept, and log p of their last symbols (0 for others)."""
+        hit, p = self.grams.find(_keys(ORDER, salt, g))
+        return hit, p.astype(float)
+
     def log_p(self, salt: np.ndarray, g: np.ndarray) -> np.ndarray:
         """log p of the last symbol of each 4-gram: the longest n-gram kept, with the back-off weights above it."""
         out = np.zeros(len(g))
@@ -299,23 +306,64 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, size: int = MODEL) -> Model:
-    """The model of all languages: counted and discounted by Spark; `size` n-grams at most, and their contexts, reach the driver."""
+def _judged(docs: DataFrame, size: int) -> DataFrame:
+    """(k, salt, gram, c, off, kept): all n-grams with their discount, and whether they are among the `size` that workers hold."""
     every = levels(count_grams(docs))
-    judged = every.join(discounts(every), ["k", "salt"]).join(least_counts(every, size), "salt", "left")
-    kept = F.coalesce(F.col("r") >= F.col("least"), F.lit(False))
+    rows = every.join(discounts(every), ["k", "salt"]).join(least_counts(every, size), "salt", "left")
     c = F.col("c")
     off = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-    judged = cut(judged.select("k", "salt", "gram", "c", F.when(kept, off).otherwise(c).alias("off"), kept.alias("kept")), "judged")
-    above = judged.groupBy("k", "salt", F.shiftrightunsigned("gram", 16).alias("gram")).agg(
+    return cut(rows.select("k", "salt", "gram", "c", off.alias("off"), F.coalesce(F.col("r") >= F.col("least"), F.lit(False)).alias("kept")), "judged")
+
+
+def _contexts(judged: DataFrame) -> DataFrame:
+    return judged.groupBy("k", "salt", F.shiftrightunsigned("gram", 16).alias("above")).agg(
         F.sum("c").cast("double").alias("total"), F.sum("off").alias("free"), F.count("*").cast("double").alias("kinds"), F.max("kept").alias("some")
     )
-    return Model(judged.filter("kept").select("k", "salt", "gram", (c - F.col("off")).alias("num")).toArrow(), above.filter("some").drop("some").toArrow())
+
+
+def _gathered(judged: DataFrame) -> Model:
+    """The n-grams kept, and their contexts, on the driver."""
+    kept = judged.filter("kept").select("k", "salt", "gram", (F.col("c") - F.col("off")).alias("num"))
+    return Model(kept.toArrow(), _contexts(judged).filter("some").withColumnRenamed("above", "gram").drop("some").toArrow())
+
+
+def train(docs: DataFrame, size: int = MODEL) -> Model:
+    """The model of all languages for any text: counted and discounted by Spark; `size` n-grams at most, and their contexts, reach the driver."""
+    return _gathered(_judged(docs, size).withColumn("off", F.when(F.col("kept"), F.col("off")).otherwise(F.col("c"))))
+
+
+def train_whole(docs: DataFrame, size: int = MODEL) -> tuple[Model, DataFrame | None]:
+    """The model by which the texts of docs themselves are scored, nothing backed off: `size` n-grams to hold, and the
+    table of the rest (salt, gram, p), p the log probability; None if there is no rest."""
+    judged = _judged(docs, size)
+    # an n-gram occurs no more often than its end, so with all 4-grams kept, all shorter ones are
+    whole = judged.filter(~F.col("kept")).isEmpty()
+    return _gathered(judged), None if whole else _rest(judged)
+
+
+def _rest(judged: DataFrame) -> DataFrame:
+    """(salt, gram, p) of the 4-grams that are not kept, order by order from joins with contexts and shorter n-grams.
+
+    No key is hot there: a context has 65,536 followers at most, and an end as many symbols before it."""
+    contexts, lower = _contexts(judged), None
+    for k in range(1, ORDER + 1):
+        rows = judged.filter((F.col("k") == k) & (~F.col("kept") if k == ORDER else F.lit(True))).withColumn("above", F.shiftrightunsigned("gram", 16))
+        rows = rows.join(contexts.filter(F.col("k") == k).drop("k", "some"), ["salt", "above"])
+        p = F.col("free") / F.col("total") / (F.col("kinds") + 1 if k == 1 else F.lit(1.0))
+        if lower is not None:
+            rows = rows.withColumn("end", F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))).join(lower, ["salt", "end"])
+            p = p * F.col("shorter")
+        p = p + (F.col("c") - F.col("off")) / F.col("total")
+        if k < ORDER:
+            lower = cut(rows.select("salt", F.col("gram").alias("end"), p.alias("shorter")), f"own{k}")
+    return cut(rows.select("salt", "gram", F.ln(p).cast("float").alias("p")), "rest")
 
 
 # --- scoring and bands ----------------------------------------------------------------------------
 
 _SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, loss double, typical double"
+#: Of texts with n-grams of the rest: each block's sum and size, and those n-grams with their blocks.
+_OPEN = ", sums array<double>, sizes array<int>, at array<int>, asked array<long>"
 
 
 def _medians(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
@@ -329,32 +377,79 @@ def _medians(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def scored_column(spark: SparkSession, model: Model, text: Column, lang: Column) -> Column:
+def scored_column(spark: SparkSession, model: Model, text: Column, lang: Column, rest: bool = False) -> Column:
     """A struct of the base counts, of `loss`, the mean of -log p over a text's characters, and of `typical`, the
-    median of that mean over the text's blocks of BLOCK characters."""
+    median of that mean over the text's blocks of BLOCK characters.
+
+    rest: n-grams that the model does not hold add nothing yet, and are named for finished()."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(_SCORED)
     def run(texts: pd.Series, salts: pd.Series) -> pd.DataFrame:
         texts, salts = texts.tolist(), salts.to_numpy(np.int64)
         out = pd.DataFrame([base_counts(t) for t in texts], columns=_SCORED.replace(",", "").split()[0:10:2])
         loss, n, rows, means = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [], []
+        sizes, asked, blocks = [], [], 0
         for group, lead in pieces(texts):
             row, g = grams(group, lead)
             if not len(g):
                 continue
-            p = -shared.value.log_p(salts[row], g)
+            hit, p = shared.value.own(salts[row], g) if rest else (None, shared.value.log_p(salts[row], g))
+            p = -p
             loss += np.bincount(row, p, len(texts))
             begun = n[row[0]] if lead else 0
             n += np.bincount(row, minlength=len(texts))
             place = np.arange(len(row)) - np.searchsorted(row, row) + begun
             heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] % BLOCK == 0)])
             rows.append(row[heads])
-            means.append(np.add.reduceat(p, heads) / np.diff(np.r_[heads, len(p)]))
+            sizes.append(np.diff(np.r_[heads, len(p)]))
+            means.append(np.add.reduceat(p, heads) / sizes[-1])
+            if rest:
+                far = np.flatnonzero(~hit)
+                asked.append((row[far], blocks + np.searchsorted(heads, far, "right") - 1, g[far].view(np.int64)))
+                blocks += len(heads)
         typical = _medians(np.concatenate(rows), np.concatenate(means), len(texts)) if rows else loss
-        return out.assign(n_scored=n, loss=loss / np.maximum(n, 1), typical=typical)
-
-    return run(text.cast("binary"), salt_of(lang))
+        out = out.assign(n_scored=n, loss=loss / np.maximum(n, 1), typical=typical)
+        return _opened(out, rows, means, sizes, asked) if rest else out
+
+    return F.pandas_udf(run, _SCORED + (_OPEN if rest else ""))(text.cast("binary"), salt_of(lang))
+
+
+def _opened(out: pd.DataFrame, rows: list, means: list, sizes: list, asked: list) -> pd.DataFrame:
+    """out with the columns of _OPEN, null for texts that ask nothing of the rest."""
+    none = [None] * len(out)
+    made = {c: list(none) for c in ("sums", "sizes", "at", "asked")}
+    if rows:
+        of, mean, size = np.concatenate(rows), np.concatenate(means), np.concatenate(sizes)
+        row, block, g = (np.concatenate(x) for x in zip(*asked))
+        heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
+        for a, b in zip(heads, [*heads[1:], len(row)]):
+            r = row[a]
+            i, j = np.searchsorted(of, [r, r + 1])
+            made["sums"][r], made["sizes"][r] = mean[i:j] * size[i:j], size[i:j].astype(np.int32)
+            made["at"][r], made["asked"][r] = (block[a:b] - i).astype(np.int32), g[a:b]
+    return out.assign(**{c: pd.Series(v, dtype=object) for c, v in made.items()})
+
+
+def finished(scored: DataFrame, rest: DataFrame, row: str) -> DataFrame:
+    """scored (with `row`, unique, `salt` and the columns of scored_column) with the n-grams of the rest looked up and
+    added, so that loss and typical are those of all n-grams.
+
+    An n-gram of the rest is in few texts, as frequent ones are held, so the lookup has no hot key."""
+    asked = scored.filter("asked IS NOT NULL").select(row, "salt", F.explode(F.arrays_zip("at", F.col("asked").alias("gram"))).alias("x")).select(row, "salt", F.col("x.at").alias("at"), F.col("x.gram").alias("gram"))
+    found = asked.join(rest, ["salt", "gram"]).groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("found"))
+
+    @F.pandas_udf("loss double, typical double")
+    def added(sums: pd.Series, sizes: pd.Series, at: pd.Series, p: pd.Series) -> pd.DataFrame:
+        out = []
+        for s, n, a, x in zip(sums, sizes, at, p):
+            s = np.array(s, float)
+            np.subtract.at(s, np.asarray(a, np.int64), np.asarray(x, float))
+            out.append((s.sum() / np.sum(n), float(np.median(s / n))))
+        return pd.DataFrame(out, columns=["loss", "typical"])
+
+    more = scored.filter("asked IS NOT NULL").join(found, row).select(row, added("sums", "sizes", F.col("found.at"), F.col("found.p")).alias("new"))
+    every = scored.drop("sums", "sizes", "at", "asked").join(more, row, "left")
+    return cut(every.withColumns({c: F.coalesce(F.col(f"new.{c}"), F.col(c)) for c in ("loss", "typical")}).drop("new"), "whole")
 
 
 def base_failed(words: Column, repeated: Column) -> Column:
@@ -393,10 +488,15 @@ def _verdict(s: str, band: str) -> Column:
     return ~base_failed(F.col(f"{s}n_words"), F.col(f"{s}n_repeat_words")) & ~F.coalesce(far, F.lit(False))
 
 
-def quality_report(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, the counts, base_failed, kept, loss, typical."""
+def quality_report(docs: DataFrame, size: int = MODEL) -> DataFrame:
+    """A row for each document: doc_id, the counts, base_failed, kept, loss, typical. size: n-grams that workers hold,
+    which has no bearing on the result."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    scored = cut(d.select("doc_id", salt_of(F.col("lang")).alias("salt"), scored_column(docs.sparkSession, train(d), text_of(), F.col("lang")).alias("s")).select("doc_id", "salt", "s.*"), "qual")
+    model, rest = train_whole(d, size)
+    s = scored_column(docs.sparkSession, model, text_of(), F.col("lang"), rest is not None).alias("s")
+    scored = cut(d.select("doc_id", F.monotonically_increasing_id().alias("row"), salt_of(F.col("lang")).alias("salt"), s).select("doc_id", "row", "salt", "s.*"), "qual")
+    if rest is not None:
+        scored = finished(scored, rest, "row")
     found = attach(scored, bands(scored), "salt", "docs", scored.count(), "left")
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -173,3 +173,23 @@ def test_figures_of_blocks(spark, monkeypatch):
     f = Q.scored_column(spark, model, docs.text, docs.lang)
     got = [(r.s.n_scored, r.s.loss, r.s.typical) for r in docs.select(f.alias("s")).collect()]
     assert np.allclose(got, want)
+
+
+def test_ngrams_beyond_the_held_ones_are_scored_by_their_own_entries(spark, monkeypatch):
+    """With a model that holds a part of the n-grams, or none, figures and verdicts are those of the whole model."""
+    monkeypatch.setattr(Q, "PIECE", 301)
+    texts = [*KN, " ".join(KN) * 9, "", None]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    p, _, _ = brute_kn([t or "" for t in texts])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = Q.levels(Q.count_grams(docs)).count()
+    for size in (0, n // 3, n):
+        got = {r.doc_id: r for r in Q.quality_report(docs, size).collect()}
+        assert (Q.train_whole(docs, size)[1] is None) == (size == n)
+        for i, t in enumerate(texts):
+            x = [1, 1, 1, *plain_symbols(t or "")]
+            logs = [-math.log(p(tuple(x[j : j + 4]))) for j in range(len(x) - 3)]
+            assert abs(got[i].loss - (np.mean(logs) if logs else 0)) < 1e-4
+    docs = docs_of(spark)
+    whole, part = (sorted(map(tuple, Q.quality_report(docs, size).collect()), key=str) for size in (Q.MODEL, 200))
+    assert [r[:-2] for r in whole] == [r[:-2] for r in part] and np.allclose([r[-2:] for r in whole], [r[-2:] for r in part], atol=2e-6)
