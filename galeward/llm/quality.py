@@ -504,12 +504,16 @@ def quality_report(docs: DataFrame, size: int = MODEL) -> DataFrame:
     )
 
 
-def drop_poor(docs: DataFrame) -> DataFrame:
+def drop_poor(docs: DataFrame, size: int = MODEL) -> DataFrame:
     """The documents that pass the base rules and lie in their language's band, with all their columns."""
-    s, salt, band = fresh(docs, "_gw_scored"), fresh(docs, "_gw_salt"), fresh(docs, "_gw_band")
-    model = train(docs)
-    marked = cut(docs.withColumns({s: scored_column(docs.sparkSession, model, text_of(), F.col("lang")), salt: salt_of(F.col("lang"))}), "qual")
-    scored = marked.select(F.col(salt).alias("salt"), f"{s}.*")
+    s, salt, band, row = (fresh(docs, f"_gw_{c}") for c in ("scored", "salt", "band", "row"))
+    model, rest = train_whole(docs, size)
+    marks = {s: scored_column(docs.sparkSession, model, text_of(), F.col("lang"), rest is not None), salt: salt_of(F.col("lang")), row: F.monotonically_increasing_id()}
+    marked = cut(docs.withColumns(marks), "qual")
+    scored = marked.select(F.col(row).alias("row"), F.col(salt).alias("salt"), f"{s}.*")
+    if rest is not None:
+        scored = finished(scored, rest, "row")
+        marked = marked.drop(s).join(scored.select(F.col("row").alias(row), F.struct(*[c for c in scored.columns if c not in ("row", "salt")]).alias(s)), row)
     limits = bands(scored)
     limits = limits.select(F.col("salt").alias(salt), F.col("docs").alias(band + "n"), F.struct("middle", "reach", "by_length").alias(band))
     found = attach(marked, limits, salt, band + "n", scored.count(), "left")

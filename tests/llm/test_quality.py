@@ -193,3 +193,5 @@ def test_ngrams_beyond_the_held_ones_are_scored_by_their_own_entries(spark, monk
     docs = docs_of(spark)
     whole, part = (sorted(map(tuple, Q.quality_report(docs, size).collect()), key=str) for size in (Q.MODEL, 200))
     assert [r[:-2] for r in whole] == [r[:-2] for r in part] and np.allclose([r[-2:] for r in whole], [r[-2:] for r in part], atol=2e-6)
+    assert Counter(map(tuple, Q.drop_poor(docs, 200).collect())) == Counter(map(tuple, Q.drop_poor(docs).collect()))
+    assert Q.drop_poor(docs, 200).columns == docs.columns
