@@ -1,7 +1,7 @@
 """Reconstruction detectors: dense, LSTM and GRU autoencoders over complete windows, in numpy.
 
-One model for each run (cell, architecture, window, latent size, seed), fitted in a task of its own by
-applyInPandas; the loss is the mean squared error, the optimiser Adam, and a run stops when the loss on
+One model for each run (cell, architecture, window, latent size, seed), fitted in a task of its own, which
+no other run shares; the loss is the mean squared error, the optimiser Adam, and a run stops when the loss on
 the latest part of the record has not improved for a while. A window is labelled by its centre bin."""
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galeward.operators.detectors import CELL
+from galeward.sources.scratch import cut
 
 WINDOW, CONTROL_WINDOW, LATENT = 36, 6, 8
 COMPRESSION, LEAST_LATENT = 4.5, 2
@@ -50,10 +51,6 @@ def robust_scale(x: np.ndarray, train: np.ndarray) -> np.ndarray:
     return (x - middle) / ((high - low) or 1.0)
 
 
-def _sigmoid(z):
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
-
-
 class Dense:
     """window -> hidden -> latent -> hidden -> window, rectified but at the latent's input and the end."""
 
@@ -97,68 +94,111 @@ class Recurrent:
             r = 1 / np.sqrt(a)
             self.p |= {f"{name}w": rng.uniform(-r, r, (a, b)), f"{name}v": rng.uniform(-r, r, b)}
 
-    def _run(self, name, xs):
-        h = np.zeros((len(xs[0]), self.h))
-        c, kept, out = np.zeros_like(h), [], []
-        for x in xs:
-            a, r = x @ self.p[f"{name}x"] + self.p[f"{name}b"], h @ self.p[f"{name}h"] + self.p[f"{name}c"]
+    def _gates(self, z, k):
+        """Sigmoids of the first k rows of z in place: by tanh, which needs no clipping."""
+        z[:k] *= 0.5
+        np.tanh(z[:k], out=z[:k])
+        z[:k] += 1.0
+        z[:k] *= 0.5
+
+    def _run(self, name, inputs):
+        """All states of a run, the first one 0. Arrays are (bin, unit, row): the gates of a bin are blocks side by side.
+
+        inputs: those of each bin, or of all bins alike."""
+        w, h, n = self.p, self.h, self.n
+        wide = inputs.shape[-1]
+        given = w[f"{name}x"].T @ inputs + w[f"{name}b"][:, None]
+        given = np.broadcast_to(given, (n, *given.shape[-2:]))
+        back, own = np.ascontiguousarray(w[f"{name}h"].T), w[f"{name}c"][:, None]
+        z, hs = np.empty((n, self.gates * h, wide), given.dtype), np.zeros((n + 1, h, wide), given.dtype)
+        more = np.zeros_like(hs)  # cells of an LSTM, what the state adds to a GRU's candidate
+        ends = np.empty((n, h, wide), given.dtype) if self.kind == "lstm" else None
+        for t in range(n):
+            g = np.matmul(back, hs[t], out=z[t])
+            g += own
             if self.kind == "lstm":
-                i, f, g, o = np.split(a + r, 4, 1)
-                i, f, g, o = _sigmoid(i), _sigmoid(f), np.tanh(g), _sigmoid(o)
-                new = f * c + i * g
-                kept.append((x, h, c, i, f, g, o, np.tanh(new)))
-                c, h = new, o * np.tanh(new)
+                g += given[t]
+                self._gates(g, 2 * h)
+                np.tanh(g[2 * h : 3 * h], out=g[2 * h : 3 * h])
+                self._gates(g[3 * h :], h)
+                np.multiply(g[h : 2 * h], more[t], out=more[t + 1])
+                more[t + 1] += g[:h] * g[2 * h : 3 * h]
+                np.tanh(more[t + 1], out=ends[t])
+                np.multiply(g[3 * h :], ends[t], out=hs[t + 1])
             else:
-                (ar, az, an), (rr, rz, rn) = np.split(a, 3, 1), np.split(r, 3, 1)
-                u, z = _sigmoid(ar + rr), _sigmoid(az + rz)
-                n = np.tanh(an + u * rn)
-                kept.append((x, h, u, z, n, rn))
-                h = (1 - z) * n + z * h
-            out.append(h)
-        return out, kept
-
-    def _back(self, name, kept, douts, g):
-        """Gradients of a run, given those of its states; returns those of its inputs."""
-        wx, wh = self.p[f"{name}x"], self.p[f"{name}h"]
-        for k in "xhbc":
-            g[f"{name}{k}"] = np.zeros_like(self.p[f"{name}{k}"])
-        dh_next, dc, dxs = 0.0, 0.0, []
-        for step, dout in zip(reversed(kept), reversed(douts)):
-            dh = dout + dh_next
+                more[t] = g[2 * h :]
+                g[: 2 * h] += given[t, : 2 * h]
+                self._gates(g, 2 * h)
+                np.multiply(g[:h], more[t], out=g[2 * h :])
+                g[2 * h :] += given[t, 2 * h :]
+                np.tanh(g[2 * h :], out=g[2 * h :])
+                np.subtract(hs[t], g[2 * h :], out=hs[t + 1])
+                hs[t + 1] *= g[h : 2 * h]
+                hs[t + 1] += g[2 * h :]
+        return inputs, z, hs, more, ends
+
+    def _back(self, name, kept, dout, g):
+        """Gradients of a run, given dout(bin), those of its states; returns those of what the gates get from inputs."""
+        inputs, z, hs, more, ends = kept
+        h, n, wh = self.h, self.n, self.p[f"{name}h"]
+        slope = 1.0 - z
+        slope *= z
+        middle = slice(2 * h, 3 * h)
+        slope[:, middle] = 1.0 - z[:, middle] ** 2
+        da = np.empty_like(z)
+        dr = da if self.kind == "lstm" else np.empty_like(z)
+        flat = 1.0 - ends**2 if self.kind == "lstm" else None
+        dh, dc = dout(n - 1), 0.0
+        for t in range(n - 1, -1, -1):
+            i, f, m, o = (z[t, k * h : (k + 1) * h] for k in range(4))
             if self.kind == "lstm":
-                x, h, c, i, f, n, o, t = step
-                dcell = dc + dh * o * (1 - t * t)
-                da = np.concatenate([dcell * n * i * (1 - i), dcell * c * f * (1 - f), dcell * i * (1 - n * n), dh * t * o * (1 - o)], 1)
-                dr, dc, dh_next = da, dcell * f, 0.0
+                dc = dc + dh * o * flat[t]
+                np.multiply(dc, m, out=da[t, :h])
+                np.multiply(dc, more[t], out=da[t, h : 2 * h])
+                np.multiply(dc, i, out=da[t, middle])
+                np.multiply(dh, ends[t], out=da[t, 3 * h :])
+                da[t] *= slope[t]
+                dc *= f
+                dh = wh @ da[t]
             else:
-                x, h, u, z, n, rn = step
-                dn = dh * (1 - z) * (1 - n * n)
-                dz, du = dh * (h - n) * z * (1 - z), dn * rn * u * (1 - u)
-                da, dr, dh_next = np.concatenate([du, dz, dn], 1), np.concatenate([du, dz, dn * u], 1), dh * z
-            g[f"{name}x"] += x.T @ da
-            g[f"{name}h"] += h.T @ dr
-            g[f"{name}b"] += da.sum(0)
-            g[f"{name}c"] += dr.sum(0)
-            dh_next = dh_next + dr @ wh.T
-            dxs.append(da @ wx.T)
-        return dxs[::-1]
+                dn = dh * (1.0 - f)
+                dn *= slope[t, middle]
+                da[t, middle] = dn
+                np.multiply(dn, more[t], out=da[t, :h])
+                np.multiply(dh, hs[t] - m, out=da[t, h : 2 * h])
+                da[t, : 2 * h] *= slope[t, : 2 * h]
+                dr[t, : 2 * h] = da[t, : 2 * h]
+                np.multiply(dn, i, out=dr[t, middle])
+                dh = dh * f
+                dh += wh @ dr[t]
+            if t:
+                dh += dout(t - 1)
+        g[f"{name}h"] = np.matmul(hs[:-1], dr.transpose(0, 2, 1)).sum(0)
+        g[f"{name}b"], g[f"{name}c"] = da.sum((0, 2)), dr.sum((0, 2))
+        if inputs.ndim == 3:
+            g[f"{name}x"] = np.matmul(inputs, da.transpose(0, 2, 1)).sum(0)
+            return da
+        da = da.sum(0)
+        g[f"{name}x"] = inputs @ da.T
+        return da
 
     def forward(self, x):
-        enc, ke = self._run("e", [x[:, k : k + 1] for k in range(self.n)])
-        latent = enc[-1] @ self.p["tw"] + self.p["tv"]
+        enc = self._run("e", np.ascontiguousarray(x.T)[:, None, :])
+        latent = enc[2][-1].T @ self.p["tw"] + self.p["tv"]
         again = latent @ self.p["fw"] + self.p["fv"]
-        dec, kd = self._run("d", [again] * self.n)
-        return np.concatenate([h @ self.p["ow"] + self.p["ov"] for h in dec], 1), (ke, enc, latent, kd, dec)
+        dec = self._run("d", np.ascontiguousarray(again.T))
+        return np.matmul(self.p["ow"].T, dec[2][1:])[:, 0].T + self.p["ov"], (enc, latent, dec)
 
     def backward(self, kept, d):
-        ke, enc, latent, kd, dec = kept
-        g = {"ow": sum(h.T @ d[:, k : k + 1] for k, h in enumerate(dec)), "ov": d.sum().reshape(1)}
-        dagain = sum(self._back("d", kd, [d[:, k : k + 1] @ self.p["ow"].T for k in range(self.n)], g))
+        enc, latent, dec = kept
+        each = np.ascontiguousarray(d.T)
+        g = {"ow": np.matmul(dec[2][1:], each[:, :, None]).sum(0), "ov": d.sum().reshape(1)}
+        dagain = (self.p["dx"] @ self._back("d", dec, lambda t: self.p["ow"] * each[t], g)).T
         g["fw"], g["fv"] = latent.T @ dagain, dagain.sum(0)
         dlatent = dagain @ self.p["fw"].T
-        g["tw"], g["tv"] = enc[-1].T @ dlatent, dlatent.sum(0)
-        none = np.zeros_like(enc[-1])
-        self._back("e", ke, [none] * (self.n - 1) + [dlatent @ self.p["tw"].T], g)
+        g["tw"], g["tv"] = enc[2][-1] @ dlatent, dlatent.sum(0)
+        last = self.p["tw"] @ dlatent.T
+        self._back("e", enc, lambda t: last if t == self.n - 1 else 0.0, g)
         return g
 
 
@@ -172,12 +212,13 @@ def parameters(model) -> int:
 
 
 def errors_of(model, x: np.ndarray) -> np.ndarray:
-    return np.concatenate([((model.forward(x[k : k + 8192])[0] - x[k : k + 8192]) ** 2).mean(1) for k in range(0, len(x), 8192)]) if len(x) else np.zeros(0)
+    return np.concatenate([((model.forward(x[k : k + 1024])[0] - x[k : k + 1024]) ** 2).mean(1) for k in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
 
 
 def train(model, x: np.ndarray, is_train: np.ndarray, seed: int, epochs: int = MAX_EPOCHS, patience: int = PATIENCE) -> tuple[int, float]:
-    """Fit in place; returns epochs run and the best validation loss, whose weights the model keeps."""
+    """Fit in place, in single precision as the original study; returns epochs run and the best validation loss, whose weights the model keeps."""
     rng = np.random.default_rng(seed + 1)
+    model.p, x = {k: v.astype(np.float32) for k, v in model.p.items()}, x.astype(np.float32)
     a, b = x[is_train], x[~is_train]
     best, best_p, gained = np.inf, {k: v.copy() for k, v in model.p.items()}, 0
     m, v, t = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
@@ -193,7 +234,7 @@ def train(model, x: np.ndarray, is_train: np.ndarray, seed: int, epochs: int = M
                 m[name] = 0.9 * m[name] + 0.1 * g[name]
                 v[name] = 0.999 * v[name] + 0.001 * g[name] ** 2
                 model.p[name] = model.p[name] - RATE * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
-        loss = float(errors_of(model, b).mean()) if len(b) else np.nan
+        loss = float(errors_of(model, b).mean(dtype=float)) if len(b) else np.nan
         if loss < best:
             if loss < best * (1 - LEAST_GAIN):
                 gained = epoch
@@ -217,28 +258,43 @@ def study(spark: SparkSession, archs: Sequence[str] = ("dense",)) -> DataFrame:
 
 
 def fit_scores(grid: DataFrame, runs: DataFrame, share: float = TRAIN_SHARE, epochs: int = MAX_EPOCHS, by: Sequence[str] = CELL) -> DataFrame:
-    """(by, run, ts, score, is_train, epochs, best_val_loss): the reconstruction error of every window, a task for each cell and run.
-
-    runs is a small plan, broadcast; a cell's series goes to as many tasks as it has runs."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        r = pdf.iloc[0]
-        x, at = windows_of(pdf["value"].to_numpy(float), int(r["window"]))
-        ts = pdf["ts"].to_numpy()[at]
-        is_train = (ts - ts[0]) <= (ts[-1] - ts[0]) * share if len(ts) else np.zeros(0, bool)
-        x = robust_scale(x, is_train)
-        model = make(r["arch"], int(r["window"]), int(r["bottleneck"]), int(r["seed"]))
-        n, best = train(model, x, is_train, int(r["seed"]), epochs) if len(x) else (0, np.nan)
-        out = pd.DataFrame({"ts": ts, "score": errors_of(model, x), "is_train": is_train, "epochs": n, "best_val_loss": best if np.isfinite(best) else None})
-        for c in [*by, "arch", "window", "bottleneck", "seed"]:
-            out[c] = r[c]
-        return out[[*by, "arch", "window", "bottleneck", "seed", "ts", "score", "is_train", "epochs", "best_val_loss"]]
+    """(by, run, ts, score, is_train, epochs, best_val_loss): the reconstruction error of every window.
 
+    runs is a small plan, broadcast; a cell's series goes to as many tasks as it has runs. Every run has a task to itself, recurrent
+    ones first: dealt by a hash of their keys, or into tasks of a size in bytes, fits of minutes would queue in a few tasks."""
     keys = [*by, "arch", "window", "bottleneck", "seed"]
-    rows = grid.select(*by, "ts", "value").crossJoin(F.broadcast(runs)).select(*keys, "ts", "value")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, "ts").schema)
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, score double, is_train boolean, epochs int, best_val_loss double")
+    point = F.struct("ts", "value")
+    series = cut(grid.groupBy(*by).agg(F.sort_array(F.collect_list(point)).alias("s")).select(*by, F.col("s.ts").alias("ts"), F.col("s.value").alias("value")), "series")
+    dealt = series.select(*by).crossJoin(F.broadcast(runs)).withColumn("_place", F.row_number().over(Window.orderBy(F.col("arch") == "dense", *keys)) - 1)
+    dealt = cut(dealt, "dealt")
+    n = dealt.count()
+    ts = series.schema["ts"].dataType.elementType
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.select(*keys).schema) + f", ts {ts.simpleString()}"
+    scores = f"{kinds}, score double, is_train boolean, epochs int, best_val_loss double"
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                r = {c: one.column(c)[0].as_py() for c in ("arch", "window", "bottleneck", "seed")}
+                times = one.column("ts").flatten()
+                x, at = windows_of(np.array(one.column("value").flatten().to_numpy(zero_copy_only=False), float), r["window"])
+                t = times.take(pa.array(at))
+                when = t.cast("int64").to_numpy(zero_copy_only=False)
+                is_train = when - when[0] <= (when[-1] - when[0]) * share if len(when) else np.zeros(0, bool)
+                x = robust_scale(x, is_train)
+                model = make(r["arch"], r["window"], r["bottleneck"], r["seed"])
+                epochs_run, best = train(model, x, is_train, r["seed"], epochs) if len(x) else (0, np.nan)
+                m = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.repeat(one.column(c)[0], m) for c in keys], t, pa.array(errors_of(model, x).astype(float)), pa.array(is_train),
+                     pa.array(np.full(m, epochs_run, np.int32)), pa.array([best if np.isfinite(best) else None] * m, pa.float64())],
+                    names=[*keys, "ts", "score", "is_train", "epochs", "best_val_loss"],
+                )
+
+    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    rows = series.alias("a").join(F.broadcast(dealt.alias("b")), cond).select("b.*", "a.ts", "a.value")
+    return rows.repartitionById(max(n, 1), F.col("_place").cast("int")).mapInArrow(run, scores)
 
 
 def fit_health(fits: DataFrame, max_epochs: int = MAX_EPOCHS, by: Sequence[str] = CELL) -> DataFrame:

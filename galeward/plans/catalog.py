@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -290,6 +291,16 @@ def _fits(spark, sf, arch, passes=False):
     return primary.unionByName(S.stored(spark, sf, f"passes_{arch}", more))
 
 
+def _all_fits(spark, sf):
+    """The primary fits of all architectures; those that are not stored yet are made in one job, so that no architecture waits for
+    another's last fit."""
+    new = [a for a in R.METHODS if not S.is_stored(spark, sf, f"fits_{a}")]
+    out = [_fits(spark, sf, a) for a in R.METHODS if a not in new]
+    if new:
+        out.append(S.stored(spark, sf, "_".join(["fits_of", *new]), lambda: R.fit_scores(S.filled(spark, sf), R.plan(spark, new))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _variants(spark, sf, keep, name):
     fits = _fits(spark, sf, "dense", passes=True).filter(keep)
     return R.reconstruction_detections(fits, name=F.concat(F.lit(f"{name}_"), F.col(name).cast("string")))
@@ -476,9 +487,7 @@ def all_detections(spark, sf):
     def made():
         x = D.window_features(S.filled(spark, sf))
         out = S.found(spark, sf).unionByName(D.detections(density.lof(x), "lof")).unionByName(D.detections(density.iforest(x), "isolation_forest"))
-        for arch in R.METHODS:
-            out = out.unionByName(R.reconstruction_detections(_fits(spark, sf, arch)))
-        return out
+        return out.unionByName(R.reconstruction_detections(_all_fits(spark, sf)))
 
     return S.stored(spark, sf, "all_detections", made)
 

@@ -27,6 +27,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataF
     return _STORED[key]
 
 
+def is_stored(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    return (spark.sparkContext.applicationId, sf_dir, name) in _STORED
+
+
 def forget() -> None:
     """Delete the shared tables, so that the next query makes its own."""
     for table in _STORED.values():
