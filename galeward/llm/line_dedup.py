@@ -58,8 +58,10 @@ def _letters(line: Column) -> Column:
     byte each, so bytes may be counted."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        left = F.replace(line, F.lit(c), F.lit(""))
+        n = (F.octet_length(line) - F.octet_length(left)).cast("long")
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)), 4 * k))
+        line = left  # the other letters are counted in what is left, ever less
     return out
 
 

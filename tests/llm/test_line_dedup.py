@@ -161,3 +161,17 @@ def test_report_and_filter(spark):
     left = Counter((i, "\n".join(x for p, x in enumerate(t.split("\n")) if (r, p) not in gone) if t is not None else None) for r, (i, t, _) in enumerate(rows))
     assert Counter((r.doc_id, r.text) for r in out.collect()) == left
     assert D.line_report(docs.filter("false")).count() == 0
+
+
+def test_letters_are_counted_in_what_the_others_leave(spark):
+    """Sixteen scans of ever shorter texts, with the counts of the whole line."""
+    from pyspark.sql import functions as F
+
+    from galeward.llm import line_dedup as L
+
+    lines = ["", "eee" * 7, "the rain in Spain, gum & Çedille été", "e" * 33 + "日本" + " " * 17, "xyz"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", L._letters(F.col("line")).alias("sig"))
+    for r in got.collect():
+        assert r.sig & (2**64 - 1) == sum((r.line.count(c) & 15) << 4 * k for k, c in enumerate(L.LETTERS))
+    text = got.select("sig")._jdf.queryExecution().logical().toString()
+    assert "replace(replace(" in text
