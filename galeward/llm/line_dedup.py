@@ -7,7 +7,8 @@ only when equal; classes are the components of the links. The first line of a cl
 Search: a line of length l is cut into TAU + 1 segments, one of which survives TAU edits whole. Every
 distinct line indexes its segments by (l, number, text) and looks up, for each length from its own
 down to TAU less, just the substrings that a surviving segment may have become (the multi-match
-aware range of places). Pairs whose counts of common letters differ too much for TAU edits are
+aware range of places). Most lines meet no other under any key and are left at that, without a pair. For the others
+this is done again with the counts of their letters: pairs whose counts of common letters differ too much for TAU edits are
 dropped within the join; the rest are verified by a bit-parallel run along the band of 2 * TAU + 1
 diagonals, a bit for each diagonal and a word for each number of edits.
 
@@ -71,34 +72,38 @@ def _letters_apart(a: str, b: str) -> str:
     return " + ".join(one.format(x=f"(shiftrightunsigned({a}, {4 * k}) & 15)", y=f"(shiftrightunsigned({b}, {4 * k}) & 15)") for k in range(len(LETTERS)))
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
     """First place (from 1) and size of segment i of TAU + 1; longer segments come last."""
     extra = length % (tau + 1)
     base = F.call_function("div", length - extra, F.lit(tau + 1)).cast("int")
     plain = F.lit(tau + 1) - extra  # segments of the smaller size
-    first = base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - plain) + 1
-    return first.cast("int"), (base + F.when(F.lit(i) > plain, 1).otherwise(0)).cast("int")
+    first = base * (i - 1) + F.greatest(F.lit(0), i - 1 - plain) + 1
+    return first.cast("int"), (base + F.when(i > plain, 1).otherwise(0)).cast("int")
 
 
-def index_keys(line: Column, length: Column, tau: int) -> Column:
-    keys = []
-    for i in range(1, tau + 2):
-        first, size = _segment(length, i, tau)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, first, size)))
-    return F.array(*keys)
+def index_places(tau: int) -> list[tuple[int, int, int]]:
+    """(less, segment, offset) of a line's own segments."""
+    return [(0, i, 0) for i in range(1, tau + 2)]
 
 
-def probe_keys(line: Column, length: Column, tau: int) -> Column:
-    """Keys of the substrings at the places where a surviving segment of a line `less` shorter may lie. A
-    place beyond the line's ends makes a key that no index holds, or one more candidate."""
+def probe_places(tau: int) -> list[tuple[int, int, int]]:
+    """(less, segment, offset) of the places where a surviving segment of a line `less` shorter may lie, a line's own
+    segments among them. A place beyond the line's ends makes a key that no index holds, or one more candidate."""
     out = []
     for less in range(tau + 1):
-        other = (length - less).cast("int")
         for i in range(1, tau + 2):
-            first, size = _segment(other, i, tau)
-            for off in range(max(1 - i, less - (tau + 1 - i)), min(i - 1, less + (tau + 1 - i)) + 1):
-                out.append(F.xxhash64(other, F.lit(i), F.substring(line, first + off, size)))
-    return F.array(*out)
+            out += [(less, i, off) for off in range(max(1 - i, less - (tau + 1 - i)), min(i - 1, less + (tau + 1 - i)) + 1)]
+    return out
+
+
+def keyed(lines: DataFrame, places: list[tuple[int, int, int]], tau: int, *kept: str) -> DataFrame:
+    """key and the kept columns: a row for each line and place. The places are exploded before a key is made, so that there is
+    one expression for all of them: the code of one for each was too long for the JVM to compile, and was interpreted."""
+    at = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("less", "i", "off"), p)]) for p in places])
+    other = (F.col("n") - F.col("at.less")).cast("int")
+    first, size = _segment(other, F.col("at.i"), tau)
+    key = F.xxhash64(other, F.col("at.i"), F.substring(F.col("line"), first + F.col("at.off"), size))
+    return lines.select("line", "n", *[c for c in kept if c != "n"], F.explode(at).alias("at")).select(key.alias("key"), *kept)
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -127,8 +132,21 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
 
 def named(lines: DataFrame) -> DataFrame:
-    """Distinct lines (line) with id, n (code points) and sig (letters), as a scratch table."""
-    return cut(lines.select("line", F.length("line").alias("n"), _letters(F.col("line")).alias("sig")).withColumn("id", F.monotonically_increasing_id()), "dlines")
+    """Distinct lines (line) with id and n (code points), as a scratch table."""
+    return cut(lines.select("line", F.length("line").alias("n")).withColumn("id", F.monotonically_increasing_id()), "dlines")
+
+
+def met(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """The lines (id, line, n) that another line meets under a key, with sig (letters), as a scratch table: all that can have a
+    link. A key is asked for its least and its greatest line only, so crowds cost a row for each line; every line of a key
+    that several index asks for that key itself."""
+    d = lines.filter(F.col("n") >= CHARS)
+    ends = keyed(d, index_places(tau), tau, "id").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    asked = keyed(d, probe_places(tau), tau, "id").join(ends.hint("shuffle_hash"), "key").filter("id <> lo OR id <> hi")
+    ids = cut(asked.select(F.explode(F.array("id", "lo")).alias("id")).distinct(), "met")
+    few = ids.count() <= BROADCAST_IDS
+    # letters are counted over a join, not in the results of an aggregate, where a nested expression is run anew for each use
+    return cut(d.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "line", "n", _letters(F.col("line")).alias("sig")), "mlines")
 
 
 def _split_keys(key: Column, role: int, split: tuple[int, int]) -> Column:
@@ -169,9 +187,8 @@ def _parted(rows: DataFrame, keys: DataFrame, few: bool) -> tuple[DataFrame, Dat
 
 def line_links(lines: DataFrame, tau: int = TAU, crowd: int = CROWD) -> DataFrame:
     """Links (u, v) of line ids whose components are those of all near pairs. lines: as named() makes them."""
-    d = lines.filter(F.col("n") >= CHARS)
-    held = d.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), "id", "n", "sig")
-    asked = d.select(F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"), "id", "n", "sig")
+    lines = met(lines, tau)
+    held, asked = keyed(lines, index_places(tau), tau, "id", "n", "sig"), keyed(lines, probe_places(tau), tau, "id", "n", "sig")
     glance = held.filter(F.pmod(F.xxhash64("id"), F.lit(GLANCE)) == 0)
     crowds = glance.groupBy("key").count().filter(F.col("count") > max(crowd // GLANCE // 2, 0)) if crowd >= GLANCE else held.groupBy("key").count().filter(F.col("count") > crowd)
     links, last = None, (2 * tau + 4, 4)

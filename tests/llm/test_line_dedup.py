@@ -175,3 +175,43 @@ def test_letters_are_counted_in_what_the_others_leave(spark):
         assert r.sig & (2**64 - 1) == sum((r.line.count(c) & 15) << 4 * k for k, c in enumerate(L.LETTERS))
     text = got.select("sig")._jdf.queryExecution().logical().toString()
     assert "replace(replace(" in text
+
+
+def plans_of(spark, monkeypatch, texts):
+    """Optimised plans of the scratch tables that a report over the texts writes."""
+    seen, plain_cut = [], D.cut
+
+    def cut(df, tag="t"):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain_cut(df, tag)
+
+    monkeypatch.setattr(D, "cut", cut)
+    D.line_report(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")).collect()
+    return seen
+
+
+def test_letters_are_counted_once_for_each_line(spark, monkeypatch):
+    """In an aggregate's results each use of a nested expression is run anew, 16 letters then take 256 scans."""
+    plans = plans_of(spark, monkeypatch, ["the first line of it\nanother, unlike all others", "the first line of it!"])
+    counting = [p for p in plans if "replace(" in p]
+    assert counting
+    assert not [x for p in counting for x in p.splitlines() if "Aggregate" in x and "replace(" in x]
+
+
+def test_probe_keys_are_made_by_one_expression(spark, monkeypatch):
+    """One for each of the 12 places makes a method that the JVM does not compile."""
+    plans = plans_of(spark, monkeypatch, ["the first line of it\nanother, unlike all others", "the first line of it!"])
+    assert any("xxhash64(" in p and "substring(" in p for p in plans)
+    assert max(x.count("substring(") for p in plans for x in p.splitlines()) <= 1
+
+
+@pytest.mark.parametrize("tau", [1, 2])
+def test_lines_that_meet_hold_every_link(spark, tau):
+    """Also those in the middle of a crowd, whose ids are neither its key's least nor its greatest."""
+    rng = random.Random(tau)
+    crowd = {"one beginning for all of them: " + "".join(rng.choice("abcdefgh") for _ in range(14)) for _ in range(30)}
+    lonely = {"".join(rng.choice("klmnopqrstuvwxyz") for _ in range(50)) for _ in range(20)}
+    lines = sorted(crowd | lonely | {x for x in some_lines(rng, 20) if len(x) >= D.CHARS} | {"shorter", "shortest"})
+    got = {r.line for r in D.met(D.named(spark.createDataFrame([(x,) for x in lines], "line string")), tau).collect()}
+    linked = {x for a in lines for b in lines if a < b and min(len(a), len(b)) >= D.CHARS and near(a, b, tau) for x in (a, b)}
+    assert linked and linked <= got and crowd <= got and not lonely & got
