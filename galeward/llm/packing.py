@@ -41,10 +41,19 @@ END = 2
 #: Queues whose totals every task may hold (8 bytes each); more are placed by a prefix sum over the rounds' shares.
 QUEUES = 1024
 #: Chunks of text whose ids a worker remembers, twice: when as many are new, those not asked for since go.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Bytes of text whose chunks are told apart at a time.
-PIECE = 1 << 22
+PIECE = 1 << 23
 _MARKS = string.punctuation.encode()
+_ALNUM = np.isin(np.arange(256), np.frombuffer((string.ascii_letters + string.digits).encode(), np.uint8))
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string or binary column, and the places where its rows begin and the last one ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int32)
+    _, ends, held = column.buffers()
+    return np.frombuffer(held, np.uint8) if held else np.zeros(0, np.uint8), np.frombuffer(ends, np.int32, len(column) + 1, 4 * column.offset)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -77,10 +86,16 @@ class WordIds(dict):
         self.before: dict[bytes, bytes] = {}
 
     def encoded(self, word: bytes) -> bytes:
-        """A word of small letters in normal form is one piece, which the vocabulary's model splits by itself."""
+        """A word of small letters in normal form is one piece, which the vocabulary's model splits by itself.
+        Capitals of Latin-1, all in normal form, have one small letter each."""
+        if word.isalpha() and word.islower():  # ASCII, each byte its own letter
+            return array("I", [x.id for x in self.pieces.tokenize(word.decode())]).tobytes()
         text = word.decode()
-        if text.isalpha() and text == text.lower() and (text.isascii() or is_normalized("NFC", text)):
-            return array("I", [x.id for x in self.pieces.tokenize(word.decode("latin-1").translate(_LETTERS))]).tobytes()
+        if text.isalpha():
+            small = text.lower()
+            if small == text or max(text) < "\u0100":
+                if small.isascii() or is_normalized("NFC", small):
+                    return array("I", [x.id for x in self.pieces.tokenize(small.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
@@ -101,28 +116,69 @@ class WordIds(dict):
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
-    def of_all(self, texts: pa.StringArray) -> list[bytes]:
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """Of each word, as self[word]; those of ASCII letters by themselves in fewer steps."""
+        out, split = list(map(self.get, words)), self.pieces.tokenize
+        for i in [i for i, x in enumerate(out) if x is None]:
+            word = words[i]
+            if word.islower() and word.isalpha() and word not in self.before and len(self) < REMEMBERED:
+                ids = array("I", [x.id for x in split(word.decode())]).tobytes()
+                if len(word) <= 64:
+                    self[word] = ids
+                out[i] = ids
+            else:
+                out[i] = self[word]
+        return out
+
+    def of_chunks(self, chunks: pa.StringArray) -> pa.BinaryArray:
+        """Of distinct chunks. Those that are a word and its marks are parted together, and each word is looked up once."""
+        import pyarrow.compute as pc
+
+        bare = pc.ascii_rtrim(chunks, characters=_MARKS.decode())
+        held, kept = pc.binary_length(chunks).to_numpy(), pc.binary_length(bare).to_numpy()
+        letters, ends = _bytes_of(bare)
+        last = letters[np.maximum(ends[1:] - 1, 0)] if len(letters) else np.zeros(len(bare), np.uint8)
+        marked = (kept > 0) & (kept < held) & _ALNUM[last] & ~pc.match_substring(chunks, "<|").to_numpy(zero_copy_only=False)
+        words = pc.if_else(pa.array(marked), bare, chunks).dictionary_encode()
+        ids = pa.array(self.of_words(words.dictionary.cast(pa.binary()).to_pylist()), pa.binary()).take(words.indices)
+        at = np.flatnonzero(marked)
+        if not len(at):
+            return ids
+        letters, ends = _bytes_of(chunks)
+        size = (held - kept)[at]
+        upto = np.r_[0, np.cumsum(size)].astype(np.int32)
+        tails = letters[np.repeat(ends[1:][at] - upto[1:], size) + np.arange(upto[-1])]
+        tails = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(upto), pa.py_buffer(tails)]).dictionary_encode()
+        which = np.zeros(len(chunks), np.int32)
+        which[at] = tails.indices.to_numpy() + 1
+        behind = pa.array([b"", *self.of_words(tails.dictionary.to_pylist())], pa.binary()).take(pa.array(which))
+        return pc.binary_join_element_wise(ids, behind, b"")
+
+    def column(self, texts: pa.StringArray) -> pa.BinaryArray:
         """Of each text, with the end mark. Chunks are told apart by Arrow, so each is looked up once."""
         import pyarrow.compute as pc
 
-        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         bounds, chunks = chunks.offsets.to_numpy() - chunks.offsets[0].as_py(), chunks.flatten().dictionary_encode()
-        which = chunks.indices.to_numpy()
-        known = [self[w] for w in chunks.dictionary.cast(pa.binary()).to_pylist()]
-        table = np.frombuffer(b"".join(known), "<u4")
-        size = np.fromiter((len(x) // 4 for x in known), np.int64, len(known))
-        first = (np.cumsum(size) - size)[which]
-        size = size[which]
-        ends = np.r_[0, np.cumsum(size)]
-        ids = table[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-        at = ends[bounds].tolist()
+        known = self.of_chunks(chunks.dictionary)
         end = np.array([END], "<u4").tobytes()
-        out = [ids[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:])]
-        for i in odd.tolist():
-            out[i] = self.of(texts[i].as_py().encode()) + end
+        # a chunk more behind each text is its end mark
+        which = np.insert(chunks.indices.to_numpy(), bounds[1:], len(known))
+        ids = pa.concat_arrays([known, pa.array([end], pa.binary())]).take(pa.array(which))
+        places = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[bounds + np.arange(len(bounds))]
+        out = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(places), ids.buffers()[2]])
+        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist()
+        if odd:
+            made = out.to_pylist()
+            for i in odd:
+                made[i] = self.of(texts[i].as_py().encode()) + end
+            out = pa.array(made, pa.binary())
         return out
 
+    def of_all(self, texts: pa.StringArray) -> list[bytes]:
+        """column(texts) as a list."""
+        return self.column(texts).to_pylist()
+
 
 _known: dict[str, WordIds] = {}
 
@@ -148,13 +204,13 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         words = word_ids(path or vocabulary())
         for b in batches:
             texts = b.column(2).cast(pa.string())
-            size = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)) if len(texts) else np.zeros(0, np.int64)
+            size = np.diff(_bytes_of(texts)[1])
             group = np.cumsum(size, dtype=np.int64) // PIECE
             heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(texts) else []
             for i, j in zip(heads, [*heads[1:], len(texts)]):
-                ids = words.of_all(texts.slice(i, j - i))
-                n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "queue", "n", "ids"])
+                ids = words.column(texts.slice(i, j - i))
+                n = np.diff(_bytes_of(ids)[1]).astype(np.int64) // 4
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), ids], names=["doc_id", "queue", "n", "ids"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("queue"), text_of().alias("text"))
     made = map_arrow(d, run, "doc_id long, queue string, n long, ids binary")

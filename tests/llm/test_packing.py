@@ -136,3 +136,23 @@ def test_over_1024_sources_keep_their_proportions_in_every_window(spark):
     assert all(abs(x - 1024 * share * k) <= 1024 * share + 2 for k, x in enumerate(so_far.tolist(), 1))
     small = Counter(r.queue for r in full for _ in range(r.length))
     assert len(small) == n
+
+
+def test_words_behind_marks_and_capitals_are_told_once_and_by_themselves():
+    from tokenizers import Tokenizer
+
+    t, w, asked = Tokenizer.from_file(VOCABULARY), P.WordIds(VOCABULARY), []
+
+    class Whole:
+        def encode(self, text, **how):
+            asked.append(text)
+            return t.encode(text, **how)
+
+    w.model = Whole()
+    texts = ["Éréaux, éréaux; ÉRÉAUX! word. word, Word;", "", None, "Übung?! übung !?word, 中,", "a <|endoftext|> word, <|x"]
+    got = w.of_all(pa.array(texts[:4]).fill_null(""))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts[:4]]
+    assert set(asked) <= {"", ",", ";", "!", ".", "?!", "!?word", "中,"}  # the rest is split by the vocabulary's model alone
+    assert not [x for x in w if x.startswith(b"word") and x != b"word"]  # no word is kept again with its marks
+    got = w.of_all(pa.array(["word", *texts]).slice(1).fill_null(""))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
