@@ -89,3 +89,22 @@ def test_every_byte_is_judged_right(spark, limit):
 
 def test_no_rows(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_on_passages_of_over_50_words(spark, tmp_path):
+    """Planted in three documents each, they go whole from 400 bytes on and stay below, whatever their words."""
+    rng = random.Random(51)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = []
+    for size in (270, 394, 399, 400, 401, 640):
+        passage = "é " + " ".join(word(rng.randrange(1, 5 if size < 400 else 7)) for _ in range(52))
+        passage += " " + word(size - len(passage.encode()) - 1)
+        assert len(passage.encode()) == size and len(passage.split()) > 50
+        for k, (a, b) in enumerate([(0, 90), (60, 60), (90, 0)]):
+            # the bytes beside a passage are another one in each document
+            before, after = (" ".join(word(6) for _ in range(n)) for n in (a, b))
+            rows.append((len(rows), before + "PQR"[k] * (a > 0), passage, "STU"[k] * (b > 0) + after, size))
+    spark.createDataFrame([(r[0], r[1] + r[2] + r[3]) for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in S.op8_substring_dedup(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {i: (n, 1, sha(a + b)) if n >= 400 else (0, 0, sha(a + p + b)) for i, a, p, b, n in rows}
